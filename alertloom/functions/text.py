@@ -31,6 +31,12 @@ def nfkd_ascii(s: pd.Series) -> pd.Series:
     )
 
 
+# Marked non-deterministic only to keep the optimizer from evaluating one call
+# several times (filters and inferred conditions would otherwise repeat it).
+nfkc_casefold = nfkc_casefold.asNondeterministic()
+nfkd_ascii = nfkd_ascii.asNondeterministic()
+
+
 def _only_non_ascii(c: Column) -> Column:
     return F.when(c.rlike(NON_ASCII), c)
 
