@@ -193,11 +193,9 @@ def parser_name(source_name: Column) -> Column:
     )
 
 
-def context_class(folded: Column, start: Column, end: Column) -> Column:
-    """Which entity type the 16 characters around a span ask for, if any."""
-    left = F.greatest(start - 16, F.lit(0))
-    before = F.trim(F.substring(folded, left + 1, start - left))
-    after = F.trim(F.substring(folded, end + 1, F.lit(16)))
+def context_class(left16: Column, right16: Column) -> Column:
+    """Which entity type the 16 characters on each side of a span ask for."""
+    before, after = F.trim(left16), F.trim(right16)
     return (
         F.when(before.rlike("(?:district|distt|zila)$") | after.rlike("^(?:district|distt|zila)"), "DISTRICT")
         .when(before.endswith("tehsil"), "TEHSIL")

@@ -1,9 +1,8 @@
 """Place mentions in text by dictionary join.
 
-Text is folded and cut into tokens. A token starts a lookup only if some
-pattern starts with it (join with the head words); the n-grams of the lengths
-that head word has then join the dictionary. Text is never copied per n-gram:
-offsets are worked out on hits only.
+Text is folded and cut into tokens, each with a short window of text. A token
+goes on only if some pattern starts with it (join with the head words); the
+n-grams of the lengths that head word has then join the dictionary.
 """
 
 from __future__ import annotations
@@ -38,32 +37,69 @@ def searchable(words: DataFrame) -> DataFrame:
         F.length(first).alias("lead"))
 
 
+SEGMENT = 64  # tokens handled together; keeps work per token independent of text length
+BEHIND = 20  # characters kept left of a token: 16 of context and the boundary
+AROUND = 17  # characters kept right of the longest pattern
+
+
+def token_windows(texts: DataFrame, keys: list[str], column: str, reach: int) -> DataFrame:
+    """One row per token: keys, start in the folded text, the token (``head``)
+    and the text just before it and from it on.
+
+    Long texts are cut into segments first, so no token row carries the text.
+    """
+    folded = texts.select(*keys, text.fold(F.col(column)).alias("folded"))
+    tokens = folded.withColumn("tokens", F.split(_spaced(F.col("folded")), " "))
+    joined = lambda arr: F.length(F.array_join(arr, " "))
+    begin = lambda arr, i: joined(F.slice(arr, F.lit(1), i)) + F.when(i > 0, 1).otherwise(0)
+    segments = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)), F.lit(SEGMENT)),
+        lambda i: F.struct(begin(F.col("tokens"), i).alias("off"), F.slice("tokens", i + 1, SEGMENT).alias("toks")))
+    cut = tokens.select(*keys, "folded", F.explode(segments).alias("s"))
+    left = F.least(F.col("s.off"), F.lit(BEHIND))
+    part = cut.select(
+        *keys, F.col("s.off").alias("off"), F.col("s.toks").alias("toks"), left.alias("left"),
+        F.substring(F.col("folded"), F.col("s.off") - left + 1, left + joined(F.col("s.toks")) + reach + AROUND).alias("part"))
+    placed = F.transform("toks", lambda t, p: F.struct(t.alias("head"), begin(F.col("toks"), p).alias("rel")))
+    def window(t):
+        at = F.col("left") + t["rel"]
+        back = F.least(at, F.lit(BEHIND))
+        return F.struct(
+            t["head"].alias("head"), (F.col("off") + t["rel"]).alias("at"),
+            F.substring(F.col("part"), at - back + 1, back).alias("before"),
+            F.substring(F.col("part"), at + 1, F.lit(reach + AROUND)).alias("ahead"))
+    rows = part.select(*keys, F.explode(F.transform(placed, window)).alias("w"))
+    return rows.select(*keys, "w.head", "w.at", "w.before", "w.ahead")
+
+
 def scan(texts: DataFrame, words: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
     """Hits per text: keys, start, end (in the folded text), matched_text,
     numeric_id, entity_type, match_method. Contained hits are removed."""
     index = searchable(words).filter(
         (F.length("pattern") >= 3) | F.col("pattern").isin(K.SHORT_PATTERNS))
+    size = F.length("pattern")
+    reach = index.agg(F.coalesce(F.max(size), F.lit(0))).first()[0]
     heads = broadcast_if_small(index.select("head", "n_words").distinct(), row_bytes=60)
     grams = broadcast_if_small(index.drop("head", "n_words"), row_bytes=300)
 
-    tokens = (
-        texts.select(*keys, text.fold(F.col(column)).alias("folded"))
-        .withColumn("tokens", F.split(_spaced(F.col("folded")), " "))
-    )
-    at = tokens.select("*", F.posexplode("tokens").alias("pos", "head"))
-    fits = F.col("pos") + F.col("n_words") <= F.size("tokens")
-    starts = at.join(heads, "head").filter(fits).withColumn(
-        "gram", F.array_join(F.slice("tokens", F.col("pos") + 1, F.col("n_words")), " "))
-    offset = F.length(F.array_join(F.slice("tokens", F.lit(1), F.col("pos")), " ")) + F.when(F.col("pos") > 0, 1).otherwise(0)
-    found = starts.join(grams, "gram").withColumn("start", (offset - F.col("lead")).cast("int"))
-    size = F.length("pattern")
-    found = found.withColumn("end", F.col("start") + size)
-    exact = F.substring(F.col("folded"), F.col("start") + 1, size) == F.col("pattern")
-    open_left = (F.col("start") == 0) | ~F.substring(F.col("folded"), F.col("start"), F.lit(1)).rlike(ALNUM)
-    open_right = ~F.substring(F.col("folded"), F.col("end") + 1, F.lit(1)).rlike(ALNUM)
-    hits = found.filter((F.col("start") >= 0) & exact & open_left & open_right).select(
-        *keys, "start", "end", F.col("pattern").alias("matched_text"),
-        G.chosen(text.context_class(F.col("folded"), F.col("start"), F.col("end"))).alias("c"))
+    rows = token_windows(texts, keys, column, reach).join(heads, "head")
+    # Fewer words left than asked for gives a shorter text; the exact test
+    # below could then pass for several word counts, so the count must fit.
+    spaced = _spaced(F.col("ahead"))
+    rows = rows.withColumn("gram", F.call_function("substring_index", spaced, F.lit(" "), F.col("n_words"))).filter(
+        F.size(F.split("gram", " ")) == F.col("n_words"))
+    found = rows.join(grams, "gram")
+    lead = F.col("lead")
+    shown = F.concat(F.when(lead > 0, F.right("before", lead)).otherwise(""), "ahead")
+    prior = F.substring(F.col("before"), F.length("before") - lead, F.lit(1))
+    exact = shown.startswith(F.col("pattern")) & (F.length("before") >= lead)
+    open_left = (F.length("before") == lead) | ~prior.rlike(ALNUM)
+    open_right = ~F.substring(shown, size + 1, F.lit(1)).rlike(ALNUM)
+    before = F.right(F.substring(F.col("before"), F.lit(1), F.length("before") - lead), F.lit(16))
+    context = text.context_class(before, F.substring(shown, size + 1, F.lit(16)))
+    hits = found.filter(exact & open_left & open_right).select(
+        *keys, (F.col("at") - lead).cast("int").alias("start"), (F.col("at") - lead + size).cast("int").alias("end"),
+        F.col("pattern").alias("matched_text"), G.chosen(context).alias("c"))
     safe = hits.filter(text.safe_for_text(F.col("c.entity_type"), F.col("matched_text")))
     return remove_contained(safe.select(
         *keys, "start", "end", "matched_text", "c.numeric_id", "c.entity_type",

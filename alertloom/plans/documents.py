@@ -90,15 +90,18 @@ def _(spark, d):
 
 @query("b2_section", f"SELECT doc_id, 'Rain of ' || CAST(doc_id % 90 AS VARCHAR) || ' mm over the upper catchment.' AS next_24_hours, 'Wet spell ' || CAST(doc_id AS VARCHAR) || ' goes on.' AS next_48_hours FROM {DOCS}")
 def _(spark, d):
-    return structured(spark, d).filter("advisory IS NOT NULL").select("doc_id", "advisory.rainfall_forecast.*")
+    rows = B.sections(rendered(spark, d)).filter(B.is_bulletin(F.col("__t")))
+    return rows.select("doc_id", F.col("__f24").alias("next_24_hours"), F.col("__f48").alias("next_48_hours"))
 
 
 @query("b3_bulletin_meta", f"""SELECT doc_id, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '/26' AS number, CAST(doc_id % 28 + 1 AS VARCHAR) || 'th July-2026' AS issue_date, '12:15 hours (PST)' AS issue_time, '1 of 8' AS page,
 'Defence Division' AS division, '46-JAIL ROAD LAHORE-54000' AS office_address, 'duty@ffd.example' AS email, '0429' || CAST(doc_id AS VARCHAR) AS telephone, 10 AS n_keys FROM {DOCS}""")
 def _(spark, d):
-    m = F.col("advisory.bulletin")
+    t = B.one_line(F.col("raw_text"))
+    m = F.col("m")
     names = ["number", "issue_date", "issue_time", "page", "division", "office_address", "email", "telephone"]
-    return structured(spark, d).filter("advisory IS NOT NULL").select("doc_id", *[m[n].alias(n) for n in names], F.size(m).alias("n_keys"))
+    rows = rendered(spark, d).filter(B.is_bulletin(t)).select("doc_id", B.metadata(t).alias("m"))
+    return rows.select("doc_id", *[m[n].alias(n) for n in names], F.size(m).alias("n_keys"))
 
 
 GLANCE = " UNION ALL ".join(f"SELECT doc_id, '{r}' AS river, {s} AS station, {level(i)} AS level FROM {DOCS}" for r, s, i in [
@@ -116,8 +119,9 @@ def _(spark, d):
     f"SELECT doc_id, '{r}' AS river, '{s}' AS station, {level(i)} AS level FROM {DOCS} WHERE {w}" for r, s, i, w in [
         ("Chenab", "Khanki", 2, "true"), ("Chenab", "Qadirabad", 2, "true"), ("Ravi", "Balloki", 4, "doc_id % 2 = 0"), ("Kabul", "Warsak", 4, "doc_id % 2 = 0")]))
 def _(spark, d):
-    context = F.concat_ws(" ", F.array_join("advisory.hydrological_summary", " "), F.col("advisory.warning.text"))
-    rows = structured(spark, d).filter("advisory IS NOT NULL").select("doc_id", F.explode(B.hydrology_rows(context)).alias("r"))
+    parts = B.sections(rendered(spark, d)).filter(B.is_bulletin(F.col("__t")))
+    context = F.concat_ws(" ", "__hydro", "__warn")
+    rows = parts.select("doc_id", F.explode_outer(F.array_distinct(B.hydrology_rows(context))).alias("r")).filter("r IS NOT NULL")
     return rows.select("doc_id", "r.river", "r.station", "r.level")
 
 
@@ -130,7 +134,8 @@ def _(spark, d):
 @query("b7_sentences", f"""SELECT doc_id, 'River Chenab at Khanki and Qadirabad is in ' || {level(2)} || ' flood level.|' || CASE WHEN doc_id % 2 = 0 THEN 'River Ravi at Balloki and River Kabul at Warsak are in ' || {level(4)} || ' flood level.' ELSE 'Other rivers flow normally.' END
 || '|River Indus at Tarbela is ' || CASE doc_id % 3 WHEN 0 THEN 'rising.' WHEN 1 THEN 'falling.' ELSE 'steady.' END AS summary FROM {DOCS} WHERE doc_id % 5 <> 4""")
 def _(spark, d):
-    return structured(spark, d).filter("advisory.warning IS NOT NULL").select("doc_id", F.array_join("advisory.hydrological_summary", "|").alias("summary"))
+    parts = B.sections(rendered(spark, d)).filter(B.is_bulletin(F.col("__t"))).filter("doc_id % 5 <> 4")
+    return parts.select("doc_id", F.array_join(B.sentences(F.col("__hydro")), "|").alias("summary"))
 
 
 @query("b8_trend", f"SELECT doc_id, river, station, trend FROM ({CONDITION_ROWS}) c WHERE forecast_level IS NULL")
@@ -170,8 +175,9 @@ def _(spark, d):
 
 @query("a15_warning_facts", f"""SELECT doc_id, 'up to ' || CAST(doc_id % 28 + 1 AS VARCHAR) || 'th July|within the next ' || CAST(doc_id % 3 * 12 + 24 AS VARCHAR) || ' hours' AS timing, 'Jhelum|Chenab' AS rivers, 'High to Medium flows' AS ranges FROM {DOCS} WHERE doc_id % 5 <> 4""")
 def _(spark, d):
-    w = "advisory.warning"
-    return structured(spark, d).filter(f"{w} IS NOT NULL").select(
+    w = "w"
+    parts = B.sections(rendered(spark, d)).filter("__warn IS NOT NULL").select("doc_id", B.warning_facts(F.col("__warn")).alias("w"))
+    return parts.select(
         "doc_id", F.array_join(f"{w}.expected_timing", "|").alias("timing"), F.array_join(f"{w}.rivers", "|").alias("rivers"),
         F.array_join(f"{w}.expected_flood_ranges", "|").alias("ranges"))
 

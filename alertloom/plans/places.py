@@ -10,6 +10,7 @@ from alertloom.operators import aggregates as A, gazetteer as G, identity as I,
 from alertloom.plans import oracle_sql as O
 from alertloom.plans.reads import CONDITIONS, LEVEL_SQL, MAPPED, RIVER_SQL, RIVER_VALUES, STATION_SQL, STATION_VALUES, conditions
 from alertloom.plans.registry import query
+from alertloom.session import spread
 from alertloom.sources.views import view
 
 AFFIX = "(?:district|distt?|zila)"
@@ -43,7 +44,7 @@ def words(spark, d):
 
 
 def advisories(spark, d):
-    return view(spark, d, "advisories")
+    return spread(view(spark, d, "advisories"))
 
 
 def structured(spark, d):
@@ -253,7 +254,9 @@ def _(spark, d):
 @query("x15_context_type", f"""SELECT id, coalesce(nullif(ctx, ''), 'none') AS ctx FROM (SELECT id, {CONTEXT} AS ctx FROM (SELECT id, folded, instr(folded, 'nation') - 1 AS start_at, instr(folded, 'nation') + 7 AS end_at FROM (SELECT id, {O.fold('description')} AS folded FROM advisories) f WHERE instr(folded, 'nation') > 0) g) h""")
 def _(spark, d):
     rows = advisories(spark, d).select("id", text.fold(F.col("description")).alias("f")).withColumn("at", F.instr("f", "nation")).filter("at > 0")
-    return rows.select("id", F.coalesce(text.context_class(F.col("f"), F.col("at") - 1, F.col("at") + 7), F.lit("none")).alias("ctx"))
+    left = F.right(F.substring(F.col("f"), F.lit(1), F.col("at") - 1), F.lit(16))
+    right = F.substring(F.col("f"), F.col("at") + 8, F.lit(16))
+    return rows.select("id", F.coalesce(text.context_class(left, right), F.lit("none")).alias("ctx"))
 
 
 # ---- extraction ----------------------------------------------------------------------

@@ -68,3 +68,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, row_bytes:
     bound = min(max_rows, BROADCAST_BYTES // row_bytes)
     seen = df.select(F.lit(1).alias("one")).limit(bound + 1).count()
     return F.broadcast(df) if seen <= bound else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy row work on a scan of few small files.
+
+    Only for plain scans and projections of them. A large table already has
+    more partitions than the cluster has cores and is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
