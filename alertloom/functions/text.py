@@ -41,6 +41,10 @@ def _only_non_ascii(c: Column) -> Column:
     return F.when(c.rlike(NON_ASCII), c)
 
 
+def any_of(tests: list[Column]) -> Column:
+    return reduce(or_, tests)
+
+
 def any_word(text: Column, words: list[str]) -> Column:
     return reduce(or_, [text.contains(w) for w in words])
 
@@ -193,14 +197,19 @@ def parser_name(source_name: Column) -> Column:
     )
 
 
-def context_class(left16: Column, right16: Column) -> Column:
-    """Which entity type the 16 characters on each side of a span ask for."""
-    before, after = F.trim(left16), F.trim(right16)
+CONTEXT_TYPES = ["none", "DISTRICT", "TEHSIL", "PROVINCE", "DIVISION"]
+
+
+def context_code(left16: Column, right16: Column) -> Column:
+    """Place in ``CONTEXT_TYPES`` of the entity type that the 16 characters on
+    each side of a span ask for."""
+    before, after = F.rtrim(left16), F.ltrim(right16)
+    ends = lambda *words: any_of([before.endswith(w) for w in words])
+    starts = lambda *words: any_of([after.startswith(w) for w in words])
+    unit = ("district", "distt", "zila")
     return (
-        F.when(before.rlike("(?:district|distt|zila)$") | after.rlike("^(?:district|distt|zila)"), "DISTRICT")
-        .when(before.endswith("tehsil"), "TEHSIL")
-        .when(before.rlike("(?:province|territory)$"), "PROVINCE")
-        .when(before.endswith("division"), "DIVISION")
+        F.when(ends(*unit) | starts(*unit), 1).when(ends("tehsil"), 2)
+        .when(ends("province", "territory"), 3).when(ends("division"), 4).otherwise(0)
     )
 
 

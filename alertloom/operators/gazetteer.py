@@ -117,10 +117,13 @@ def dictionary(patterns: DataFrame, gaz: DataFrame) -> DataFrame:
     return best.select("pattern", "best", *[F.coalesce(name, "best").alias(name) for name in CONTEXTS])
 
 
-def chosen(context: Column) -> Column:
-    """The dictionary candidate for a context class (null = no context)."""
-    arms = [F.when(context == name, F.col(name)) for name in CONTEXTS]
-    return F.coalesce(*arms, F.col("best"))
+def candidates() -> Column:
+    """Array of the dictionary's choices in the order of ``text.CONTEXT_TYPES``."""
+    safe = lambda name: F.struct(
+        F.col(name).getField("numeric_id").alias("numeric_id"), F.col(name).getField("entity_type").alias("entity_type"),
+        F.col(name).getField("method").alias("method"),
+        text.safe_for_text(F.col(name).getField("entity_type"), F.col("pattern")).alias("safe"))
+    return F.array(*[safe(name) for name in ("best", *CONTEXTS)])
 
 
 def lookup(names: DataFrame, words: DataFrame, column: str, preferred: str | None = None) -> DataFrame:

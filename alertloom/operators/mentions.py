@@ -33,7 +33,7 @@ def searchable(words: DataFrame) -> DataFrame:
     inner = F.trim(_spaced(F.col("pattern")))
     parts = F.split(inner, " ")
     return words.filter(core != "").select(
-        "*", F.array_join(parts, " ").alias("gram"), F.size(parts).alias("n_words"), F.get(parts, 0).alias("head"),
+        "pattern", G.candidates().alias("choices"), F.array_join(parts, " ").alias("gram"), F.size(parts).alias("n_words"), F.get(parts, 0).alias("head"),
         F.length(first).alias("lead"))
 
 
@@ -55,7 +55,9 @@ def token_windows(texts: DataFrame, keys: list[str], column: str, reach: int) ->
     segments = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)), F.lit(SEGMENT)),
         lambda i: F.struct(begin(F.col("tokens"), i).alias("off"), F.slice("tokens", i + 1, SEGMENT).alias("toks")))
-    cut = tokens.select(*keys, "folded", F.explode(segments).alias("s"))
+    # Outer explodes: the inner form makes the optimizer evaluate the arrays a
+    # second time as a size test. The join with the heads drops null tokens.
+    cut = tokens.select(*keys, "folded", F.explode_outer(segments).alias("s"))
     left = F.least(F.col("s.off"), F.lit(BEHIND))
     part = cut.select(
         *keys, F.col("s.off").alias("off"), F.col("s.toks").alias("toks"), left.alias("left"),
@@ -68,7 +70,7 @@ def token_windows(texts: DataFrame, keys: list[str], column: str, reach: int) ->
             t["head"].alias("head"), (F.col("off") + t["rel"]).alias("at"),
             F.substring(F.col("part"), at - back + 1, back).alias("before"),
             F.substring(F.col("part"), at + 1, F.lit(reach + AROUND)).alias("ahead"))
-    rows = part.select(*keys, F.explode(F.transform(placed, window)).alias("w"))
+    rows = part.select(*keys, F.explode_outer(F.transform(placed, window)).alias("w"))
     return rows.select(*keys, "w.head", "w.at", "w.before", "w.ahead")
 
 
@@ -96,26 +98,29 @@ def scan(texts: DataFrame, words: DataFrame, keys: list[str], column: str = "tex
     open_left = (F.length("before") == lead) | ~prior.rlike(ALNUM)
     open_right = ~F.substring(shown, size + 1, F.lit(1)).rlike(ALNUM)
     before = F.right(F.substring(F.col("before"), F.lit(1), F.length("before") - lead), F.lit(16))
-    context = text.context_class(before, F.substring(shown, size + 1, F.lit(16)))
     hits = found.filter(exact & open_left & open_right).select(
         *keys, (F.col("at") - lead).cast("int").alias("start"), (F.col("at") - lead + size).cast("int").alias("end"),
-        F.col("pattern").alias("matched_text"), G.chosen(context).alias("c"))
-    safe = hits.filter(text.safe_for_text(F.col("c.entity_type"), F.col("matched_text")))
-    return remove_contained(safe.select(
+        F.col("pattern").alias("matched_text"), "choices", before.alias("left16"),
+        F.substring(shown, size + 1, F.lit(16)).alias("right16"))
+    hits = hits.withColumn("c", F.get("choices", text.context_code(F.col("left16"), F.col("right16"))))
+    spans = hits.select(
         *keys, "start", "end", "matched_text", "c.numeric_id", "c.entity_type",
-        F.when(F.col("c.method") == 1, "EXACT_CANONICAL").otherwise("EXACT_ALIAS").alias("match_method")), keys)
+        F.when(F.col("c.method") == 1, "EXACT_CANONICAL").otherwise("EXACT_ALIAS").alias("match_method"), F.col("c.safe").alias("safe"))
+    return remove_contained(spans, keys, keep="safe")
 
 
-def remove_contained(spans: DataFrame, keys: list[str]) -> DataFrame:
+def remove_contained(spans: DataFrame, keys: list[str], keep: str | None = None) -> DataFrame:
     """Drop a span inside an earlier kept span of another entity.
 
     The spans of one text (at most a few per word of a single row) are folded
     in order. Starts only grow, so the furthest end of the kept spans, and the
     furthest end among entities other than that one's, decide containment.
+    ``keep`` names a flag column: spans without it take no part (a flag, not a
+    filter, so that the optimizer does not evaluate it twice).
     """
-    payload = [c for c in spans.columns if c not in keys]
+    payload = [c for c in spans.columns if c not in keys and c != keep]
     span = F.struct("start", (-F.col("end")).alias("__o"), *[c for c in payload if c != "start"])
-    spans_of_text = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    spans_of_text = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col(keep), span) if keep else span)).alias("spans"))
     element = spans_of_text.schema["spans"].dataType.elementType
     none = F.lit(None).cast(spans_of_text.schema["spans"].dataType)
     far = lambda end, who, other: F.struct(end.alias("end"), who.alias("who"), other.alias("other"))

@@ -160,8 +160,11 @@ def report_files(alerts: DataFrame, locations: DataFrame, sources: DataFrame, pr
 
 
 def write_reports(files: DataFrame, sections: DataFrame, folder: str) -> None:
-    """Reports table partitioned by tier and issue date, rows in report order."""
-    rows = files.join(sections, "alert_id")
+    """Reports table partitioned by tier and issue date, rows in report order.
+
+    Rebalancing gives each date few files and splits a date that is very large.
+    """
+    rows = files.join(sections, "alert_id").hint("rebalance", "tier", "issue_date")
     rows.sortWithinPartitions("alert_id", "section", "part").write.mode("overwrite").partitionBy("tier", "issue_date").parquet(folder)
 
 

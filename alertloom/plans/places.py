@@ -256,7 +256,7 @@ def _(spark, d):
     rows = advisories(spark, d).select("id", text.fold(F.col("description")).alias("f")).withColumn("at", F.instr("f", "nation")).filter("at > 0")
     left = F.right(F.substring(F.col("f"), F.lit(1), F.col("at") - 1), F.lit(16))
     right = F.substring(F.col("f"), F.col("at") + 8, F.lit(16))
-    return rows.select("id", F.coalesce(text.context_class(left, right), F.lit("none")).alias("ctx"))
+    return rows.select("id", F.get(F.array(*[F.lit(t) for t in text.CONTEXT_TYPES]), text.context_code(left, right)).alias("ctx"))
 
 
 # ---- extraction ----------------------------------------------------------------------
