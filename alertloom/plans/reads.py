@@ -668,13 +668,12 @@ def _(spark, d):
 
 
 TRUSTED = ["10.0.0.0/8"]
-P2 = """SELECT event_id,
-CASE WHEN event_id % 4 <> 0 THEN v WHEN event_id % 10 = 0 THEN v WHEN event_id % 9 = 0 AND event_id % 6 = 0 THEN w WHEN event_id % 9 = 0 THEN 167772160 + (event_id % 256) * 256 + 7
-  WHEN NOT (v BETWEEN 167772160 AND 184549375) THEN v WHEN event_id % 6 = 0 THEN w ELSE 167772160 + (event_id % 256) * 256 + 7 END AS address,
-CASE WHEN event_id % 4 <> 0 THEN 'request_client' WHEN event_id % 10 = 0 THEN 'cf_connecting_ip' WHEN event_id % 9 = 0 AND event_id % 6 = 0 THEN 'x_real_ip' WHEN event_id % 9 = 0 THEN 'request_client'
-  WHEN NOT (v BETWEEN 167772160 AND 184549375) THEN 'x_forwarded_for' WHEN event_id % 6 = 0 THEN 'x_real_ip' ELSE 'request_client' END AS source,
-CASE WHEN event_id % 4 <> 0 OR event_id % 10 = 0 THEN false WHEN event_id % 9 = 0 AND event_id % 6 = 0 THEN false WHEN event_id % 9 = 0 THEN true WHEN NOT (v BETWEEN 167772160 AND 184549375) THEN false WHEN event_id % 6 = 0 THEN false ELSE event_id % 14 = 0 END AS invalid_input
-FROM access_log"""
+TEN = "(v BETWEEN 167772160 AND 184549375)"
+P2 = f"""SELECT event_id, CASE step WHEN 'x_real_ip' THEN w WHEN 'peer' THEN peer_ip ELSE v END AS address, CASE WHEN step IN ('peer', 'outsider') THEN 'request_client' ELSE step END AS source,
+step = 'peer' AND (event_id % 14 = 0 OR event_id % 9 = 0) AS invalid_input FROM (
+SELECT event_id, v, w, CASE WHEN event_id % 4 = 0 THEN 167772160 + (event_id % 256) * 256 + 7 ELSE v END AS peer_ip,
+CASE WHEN event_id % 4 <> 0 AND NOT {TEN} THEN 'outsider' WHEN event_id % 10 = 0 THEN 'cf_connecting_ip' WHEN event_id % 9 <> 0 AND event_id % 2 = 0 AND NOT {TEN} THEN 'x_forwarded_for'
+WHEN event_id % 6 = 0 THEN 'x_real_ip' ELSE 'peer' END AS step FROM access_log) z"""
 
 
 @query("p2_client_ip", P2)
