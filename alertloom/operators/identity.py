@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from alertloom import constants as K
 from alertloom.functions.text import filled
 from alertloom.operators.chunked import carry_forward
+from alertloom.session import write_and_read
 
 CONTENT = [
     "title", "description", "hazard_type", "official_severity", "normalized_severity", "issued_at", "starts_at",
@@ -14,6 +15,8 @@ CONTENT = [
 ]
 SIDE = ["structured_advisory", "cache_key"]
 IDENTITY = ["source_id", "source_alert_id", "source_url", "created_at"]
+CLASSIFIED_BY = {
+    "match_key", "stored_id", "seq", "content_hash", "cache_key", "structured_advisory", "description", "normalized_severity", "expires_at"}
 CHUNK_ROWS = 1_000_000
 
 
@@ -67,6 +70,7 @@ def classify(batch: DataFrame, current: DataFrame, chunk_rows: int = CHUNK_ROWS)
     content was accepted, so that one is carried from the last accepted row.
     """
     keyed = match_keys(batch, current)
+    keyed = write_and_read(keyed.select(*[c for c in keyed.columns if c in CLASSIFIED_BY]), "upsert-keys")
     cols = ["match_key", "seq", "content_hash", "cache_key", "structured_advisory", "description",
             "normalized_severity", "expires_at"]
     wanted = keyed.filter("stored_id IS NOT NULL").select(F.col("stored_id").alias("id"), "match_key").distinct()
@@ -76,6 +80,8 @@ def classify(batch: DataFrame, current: DataFrame, chunk_rows: int = CHUNK_ROWS)
     rows = keyed.select(*cols, (next_id + F.col("seq")).alias("alert_id"), F.lit(False).alias("is_seed")).unionByName(seeds)
 
     chunk = _chunk(F.col("seq"), F.col("is_seed"), chunk_rows)
+    # Narrow rows, written once: the two passes below read them several times.
+    rows = write_and_read(rows, "upsert-rows")
     rows = carry_forward(rows, ["match_key"], ["seq"], chunk, {
         "prev": F.struct("content_hash", "cache_key", "structured_advisory")})
     fresh = F.col("prev").isNull()

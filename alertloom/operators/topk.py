@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from alertloom import constants as K
 from alertloom.functions import geo, text, timeops
 from alertloom.operators import filters, joins
+from alertloom.session import write_and_read
 
 
 def severity_rank(severity: Column, other: int = 99) -> Column:
@@ -54,8 +55,9 @@ def map_alerts(alerts: DataFrame, locations: DataFrame, resolutions: DataFrame,
     rows = filters.in_window(rows, as_of, days, hours)
     rows = filters.admin_filter(rows, locations, province, district, city, substring=True)
     rows = rows.withColumn("effective_at", filters.effective(rows))
-    # At most the map limit of rows: safe to broadcast against the big children.
-    page = F.broadcast(newest(rows.drop("raw_text"), F.col("effective_at"), bounded("map", limit)))
+    # At most the map limit of rows. Written once, because four joins below use
+    # it and would otherwise each scan the alerts again; safe to broadcast.
+    page = F.broadcast(write_and_read(newest(rows.drop("raw_text"), F.col("effective_at"), bounded("map", limit)), "map-page"))
 
     place = F.struct("loc_id", "province", "district", "city", "latitude", "longitude")
     usable = geo.valid_country(F.col("latitude"), F.col("longitude")) & ~((F.col("latitude") == 0) & (F.col("longitude") == 0))
