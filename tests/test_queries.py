@@ -43,7 +43,9 @@ def test_matches_sql(spark, duck, name):
     assert sorted(rel.columns) == order
     at = [rel.columns.index(c) for c in order]
     theirs = sorted(tuple(shown(r[i]) for i in at) for r in rel.fetchall())
-    assert ours and ours == theirs
+    # The smallest tables hold three viewers, none of them near a place.
+    assert ours or name in ("j5_within_radius", "q4_nearby_for_viewers")
+    assert ours == theirs
 
 
 def test_entry(spark):
