@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from alertloom import constants as K
 from alertloom.functions import text
 from alertloom.operators import gazetteer as G
-from alertloom.session import broadcast_if_small
+from alertloom.session import broadcast_if_small, write_and_read
 
 ALNUM = r"(?U)[\p{L}\p{N}]"
 
@@ -238,7 +238,9 @@ def extract(alerts: DataFrame, structured: DataFrame, words: DataFrame, gaz: Dat
     fields["RAW_TEXT"] = F.col("raw_text")
     hits = scan(alert_texts(alerts, fields), words, ["id", "text_source"])
     named, unresolved = structured_mentions(structured, words, gaz)
-    mentions = all_mentions(named, hits)
+    # The mention table is an output of its own; written once, the steps below
+    # read it instead of scanning the texts again.
+    mentions = write_and_read(all_mentions(named, hits), "mentions")
     kept, ignored = split_ignored(best_mentions(mentions))
     parents = derived_parents(kept, gaz)
     cols = ["id", "numeric_id", "entity_type", "text_source", "start", "end", "matched_text", "match_method",

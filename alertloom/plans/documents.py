@@ -10,7 +10,7 @@ from alertloom.operators import bulletins as B
 from alertloom.plans import oracle_sql as O
 from alertloom.plans.reads import EVENT_AS_OF, text_times
 from alertloom.plans.registry import query
-from alertloom.session import new_folder, write_and_read
+from alertloom.session import new_folder, spread
 from alertloom.sources import feeds as S, gazetteer_files as GF
 from alertloom.sources.views import choose, view
 
@@ -237,7 +237,7 @@ CAP = """SELECT event_id, user_id AS source_id, 'https://cap.example/' || CAST(e
 
 
 def cap_docs(spark, d):
-    return spark.sql(CAP.replace("FROM events", "FROM {t}"), t=view(spark, d, "events"))
+    return spark.sql(CAP.replace("FROM events", "FROM {t}"), t=spread(view(spark, d, "events")))
 
 
 CAP_OK = "event_id % 11 <> 0 AND event_id % 13 <> 0"
@@ -269,7 +269,7 @@ QUAKE_OK = f"event_id % 19 <> 0 AND {MAG} >= 2.9"
 
 
 def quake_docs(spark, d):
-    return spark.sql(QUAKE.replace("FROM events", "FROM {t}"), t=view(spark, d, "events"))
+    return spark.sql(QUAKE.replace("FROM events", "FROM {t}"), t=spread(view(spark, d, "events")))
 
 
 @query("s3_read_quake_table", f"SELECT event_id AS doc_id, {O.ts('ts')} AS issued_at, 20.5::DOUBLE + event_id % 25 AS latitude, 55.25::DOUBLE + event_id % 40 AS longitude, {MAG} AS magnitude, '10' AS depth, 'Hindu Kush & ' || event_type AS region FROM events WHERE {QUAKE_OK}")
