@@ -69,7 +69,7 @@ def clean_text(c: Column) -> Column:
 
 
 def py_text(c: Column) -> Column:
-    """Null as the word the reference prints for it."""
+    """Null as the word None, the way it shows inside formatted text."""
     return F.coalesce(c, F.lit("None"))
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertloom import constants as K
 from alertloom.functions import text
-from alertloom.operators.chunked import carry_forward, running_sum
+from alertloom.operators.chunked import BEFORE, UP_TO
 from alertloom.operators.identity import text_list
 from alertloom.session import write_and_read
 
@@ -118,15 +118,30 @@ def consecutive_failures(polls: DataFrame, chunk: Column) -> DataFrame:
 
     The flag turns unhealthy at three failures, healthy on success, and keeps
     its value at one or two failures (so it stays what the last success or
-    third failure made it). Exact for hot sources: prefix sums in chunks.
+    third failure made it). Exact for hot sources: runs are cut into chunks.
     """
     keys, order = ["source_id"], ["checked_at", "event_id"]
-    rows = running_sum(polls, keys, order, chunk, (~F.col("ok")).cast("bigint"), "failures_so_far")
-    rows = carry_forward(rows, keys, order, chunk, {"at_success": F.when(F.col("ok"), F.col("failures_so_far"))})
-    run = F.when(F.col("ok"), 0).otherwise(F.col("failures_so_far") - F.coalesce("at_success", F.lit(0)))
-    return rows.withColumn("consecutive_failures", run.cast("bigint")).withColumn(
-        "health_status", F.when(F.col("consecutive_failures") >= K.UNHEALTHY_AFTER, "unhealthy").otherwise("healthy")
-    ).drop("failures_so_far", "at_success")
+    rows = polls.withColumn("__chunk", chunk)
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(*UP_TO)
+    rows = rows.withColumn("__fails", F.sum((~F.col("ok")).cast("bigint")).over(inside))
+    rows = rows.withColumn("__at_ok", F.last(F.when(F.col("ok"), F.col("__fails")), ignorenulls=True).over(inside))
+    rows = rows.withColumn("__run", F.col("__fails") - F.coalesce("__at_ok", F.lit(0)))
+
+    # Per chunk: the run it ends with, and whether a success cut it. A chunk
+    # starts with the ending runs since the last chunk that had a success.
+    across = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(*BEFORE)
+    ends = rows.groupBy(*keys, "__chunk").agg(
+        F.max_by("__run", F.struct(*order)).alias("__end"), F.bool_or("ok").alias("__cut"))
+    ends = ends.withColumn("__sum", F.coalesce(F.sum("__end").over(across), F.lit(0)))
+    ends = ends.withColumn("__base", F.last(F.when(F.col("__cut"), F.col("__sum")), ignorenulls=True).over(across))
+    carried = ends.select(*keys, "__chunk", (F.col("__sum") - F.coalesce("__base", F.lit(0))).alias("__carry"))
+
+    run = (
+        F.when(F.col("ok"), 0).when(F.col("__at_ok").isNotNull(), F.col("__run"))
+        .otherwise(F.col("__run") + F.col("__carry")))
+    out = rows.join(carried, [*keys, "__chunk"]).select(*polls.columns, run.cast("bigint").alias("consecutive_failures"))
+    return out.withColumn("health_status", F.when(
+        F.col("consecutive_failures") >= K.UNHEALTHY_AFTER, "unhealthy").otherwise("healthy"))
 
 
 def source_health(polls: DataFrame) -> DataFrame:
