@@ -33,11 +33,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a local temporary
-    folder takes its place.
+    Where that setting is absent a local temporary folder takes its place, but
+    only in local mode, where driver and executors are one process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or os.path.join(tempfile.gettempdir(), "alertloom")
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "alertloom")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
