@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from alertloom.llm.common import table
 from alertloom.llm.decontaminate import contamination
 from alertloom.llm.packing import pack
+from alertloom.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_simhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -71,7 +71,7 @@ def test_removes_affected_and_keeps_columns(spark):
 
 
 def test_empty_tables(spark):
-    docs, items = make(5, 5, 4)
+    docs, items = make(5, 8, 4)
     table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert contamination(table.limit(0), bench).count() == 0
     assert contamination(table, bench.limit(0)).filter("contaminated").count() == 0
