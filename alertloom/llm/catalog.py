@@ -8,9 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from alertloom.llm.common import table
-from alertloom.llm.decontaminate import contamination
+from alertloom.llm.decontaminate import CONTAMINATION_SQL, contamination
+from alertloom.llm.lines import LINES_SQL, line_digest
+from alertloom.llm.neighbours import nearest_neighbours
 from alertloom.llm.packing import pack
+from alertloom.llm.quality import quality_scores
+from alertloom.llm.secrets import secret_digest
+from alertloom.llm.sharding import shard_digest
 from alertloom.llm.simhash import near_duplicates
+from alertloom.llm.substrings import SUBSTRING_SQL, substring_digest
+from alertloom.llm.urls import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,16 +33,51 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_secret_scans")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_substring_dedup", SUBSTRING_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(table(spark, sf_dir, "documents"))
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op9_benchmark_decontamination")
+@query("op6_url_filters")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
+@query("op7_nearest_neighbours")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_sharding")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op9_benchmark_decontamination", CONTAMINATION_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_line_dedup", LINES_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"))

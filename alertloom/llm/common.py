@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 # Rows handed to Python at a time. Texts may be long, so this is far below Spark's default.
 BATCH_ROWS = 512
@@ -20,7 +21,7 @@ def bodies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
 
 
-def in_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over small batches."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)

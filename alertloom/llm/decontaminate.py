@@ -224,3 +224,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """The documents, with all their columns, that hold no benchmark passage."""
     names = [c if c == "text" else f"c{i}__" for i, c in enumerate(docs.columns)]  # no clash with the new columns
     return find_matches(docs.toDF(*names), benchmark, window).filter(F.size("spans") == 0).select(*names).toDF(*docs.columns)
+
+
+_WORDS_SQL = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+              r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+CONTAMINATION_SQL = f"""
+WITH items AS (SELECT item_id, {_WORDS_SQL} AS words FROM benchmark),
+sized AS (SELECT item_id, words, least({WINDOW}, len(words)) AS size FROM items WHERE len(words) > 0),
+tests AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[start:start + size - 1], ' ') AS body
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS start FROM sized)),
+docs AS (SELECT doc_id, {_WORDS_SQL} AS words FROM documents),
+places AS (
+  SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS start FROM docs, (SELECT DISTINCT size FROM tests) AS sizes),
+hits AS (
+  SELECT p.doc_id, p.start, p.size, t.item_id FROM (
+    SELECT doc_id, start, size, array_to_string(words[start:start + size - 1], ' ') AS body FROM places) p
+  JOIN tests t ON p.size = t.size AND p.body = t.body),
+covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(start, start + size)) AS place FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named i ON d.doc_id = i.doc_id
+"""
