@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     columns are not read; an empty table gives no rows.
     """
     grouped = _grouped(docs, shingle, radius)
-    smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join shuffles for itself and Spark can split a large component.
+    smallest = write_and_read(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
     return grouped.join(smallest, "root").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
