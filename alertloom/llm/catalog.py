@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from alertloom.llm.common import table
 from alertloom.llm.decontaminate import CONTAMINATION_SQL, contamination
 from alertloom.llm.lines import LINES_SQL, line_digest
@@ -81,3 +83,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_dedup", LINES_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
