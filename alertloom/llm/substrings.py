@@ -3,8 +3,10 @@
 A window is a run of words. Its anchor is the leftmost smallest hash among its
 short grams, so equal windows have equal anchors, and a window's anchor occurs
 at least as often as the window itself. Every partition counts its anchors in a
-count-min sketch; the merged sketch never underestimates. A second pass over
-the texts groups, by 128-bit keys, only the windows whose anchor may repeat.
+count-min sketch; the merged sketch never underestimates. A second sketch
+counts the windows that pass the first. The last pass over the texts groups, by
+128-bit keys, only the windows estimated to repeat. Of equal whole texts only
+the first is looked at; the others repeat all of it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ WINDOW = 20
 GRAM = 8
 LOG_CELLS = 26  # cells of each of the two sketch rows; the merged sketch is 2 * 2**26 bits, 16 MB, whatever the input
 LOG_SEGMENT = 16  # cells of a segment, the unit in which sketches are merged
-ANCHORS_AT_ONCE = 2_000_000
+LOG_FIRSTS = 27  # bits of the bitmap of first copies, 16 MB
+BITMAP_BITS = 32_768  # of one of Spark's bitmaps
+HASHES_AT_ONCE = 2_000_000
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # any odd multipliers
 NULL_ID = -(2**63)  # a null doc_id sorts first
 
@@ -97,8 +101,8 @@ def cells_of(anchors: np.ndarray, log_cells: int) -> np.ndarray:
     return np.stack([spread & mask, ((spread >> np.uint64(32)) & mask) + np.uint64(1 << log_cells)]).astype(np.int64)
 
 
-def merged_sketch(docs: DataFrame, window: int, gram: int, log_cells: int) -> np.ndarray:
-    """Bits of the cells counted at least twice over all texts.
+def merged_sketch(counted: DataFrame, hashes, log_cells: int) -> np.ndarray:
+    """Bits of the cells counted at least twice, over ``hashes(batch)`` of every batch.
 
     A partition's sketch leaves it as the cells it counted once and oftener,
     two bytes each, by segment; a segment is merged in one stream of small rows.
@@ -108,7 +112,7 @@ def merged_sketch(docs: DataFrame, window: int, gram: int, log_cells: int) -> np
     def rows(cells: np.ndarray) -> pa.RecordBatch:
         cell, times = np.unique(cells, return_counts=True)
         segment = cell >> log_segment
-        edges = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]])) if len(cell) else np.zeros(1, np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]]))
         offset = (cell & ((1 << log_segment) - 1)).astype(np.uint16)
         once, often = [], []
         for a, b in zip(edges[:-1], edges[1:]):
@@ -120,10 +124,10 @@ def merged_sketch(docs: DataFrame, window: int, gram: int, log_cells: int) -> np
     def count(batches):
         held, size = [], 0
         for batch in batches:
-            found = cells_of(Windows(batch.column("body").to_pylist(), window, gram).anchor, log_cells).ravel()
+            found = cells_of(hashes(batch), log_cells).ravel()
             held.append(found)
             size += len(found)
-            if size >= 2 * ANCHORS_AT_ONCE:
+            if size >= 2 * HASHES_AT_ONCE:
                 yield rows(np.concatenate(held))
                 held, size = [], 0
         if size:
@@ -149,7 +153,7 @@ def merged_sketch(docs: DataFrame, window: int, gram: int, log_cells: int) -> np
         if now is not None:
             yield done()
 
-    parts = in_arrow(bodies(docs).select("body"), count, "segment long, once binary, often binary")
+    parts = in_arrow(counted, count, "segment long, once binary, often binary")
     merged = in_arrow(parts.repartition("segment").sortWithinPartitions("segment"), merge, "segment long, bits binary")
     bits = np.zeros((2 << log_cells) >> 3, np.uint8)
     size = (1 << log_segment) >> 3
@@ -158,36 +162,80 @@ def merged_sketch(docs: DataFrame, window: int, gram: int, log_cells: int) -> np
     return bits
 
 
+def maybe_repeated(hashes: np.ndarray, bits: np.ndarray, log_cells: int) -> np.ndarray:
+    cells = cells_of(hashes, log_cells)
+    return ((bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).all(0)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return bodies(docs).select(
-        F.coalesce("doc_id", F.lit(NULL_ID)).alias("id_key"), F.xxhash64("body").alias("text_key"), "doc_id", "body")
+        F.coalesce("doc_id", F.lit(NULL_ID)).alias("id_key"), F.xxhash64("body").alias("text_key"),
+        F.xxhash64(F.lit(1), "body").alias("text_key2"), "doc_id", "body")
+
+
+def first_texts(docs: DataFrame) -> DataFrame:
+    """(text_key, text_key2, first_id): per distinct text the smallest doc_id."""
+    return _keyed(docs).groupBy("text_key", "text_key2").agg(F.min("id_key").alias("first_id"))
+
+
+def _place(id_key: str, text_key: str):
+    """The bit of a document: from 1, as Spark's bitmaps count."""
+    return F.pmod(F.xxhash64(id_key, text_key), F.lit(1 << LOG_FIRSTS)) + 1
+
+
+def bitmap_of_firsts(firsts: DataFrame) -> np.ndarray:
+    """A bitmap that holds the place of every first copy; other documents seldom fall on a set bit."""
+    at = firsts.select(_place("first_id", "text_key").alias("at")).select(
+        F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
+    size = BITMAP_BITS >> 3
+    bits = np.zeros((1 << LOG_FIRSTS) >> 3, np.uint8)
+    for row in at.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # at most the bitmap itself
+        bits[(row["bucket"] - 1) * size:row["bucket"] * size] = np.frombuffer(row["bits"], np.uint8)
+    return bits
 
 
 def candidates(docs: DataFrame, window: int, gram: int, log_cells: int) -> DataFrame:
-    """(k0, k1, id_key, text_key, start): the windows that the sketch can't prove unique."""
-    sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, window, gram, log_cells))
+    """(k0, k1, id_key, text_key, start): the windows that the sketches can't prove unique.
+
+    Later copies of a whole text take no part. The first sketch counts anchors;
+    a second one counts the keys of the windows that the first lets through.
+    """
+    context = docs.sparkSession.sparkContext
+    firsts = context.broadcast(bitmap_of_firsts(first_texts(docs)))
+    source = _keyed(docs).select("id_key", "text_key", "body", (_place("id_key", "text_key") - 1).alias("place"))
+
+    def texts(batch) -> list[bytes]:
+        """The batch's texts, those that are surely later copies left empty."""
+        place = batch.column("place").to_numpy()
+        known = (firsts.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+        return [b if k else b"" for b, k in zip(batch.column("body").to_pylist(), known)]
+
+    anchors = context.broadcast(merged_sketch(source, lambda batch: Windows(texts(batch), window, gram).anchor, log_cells))
+
+    def passing(batch):
+        found = Windows(texts(batch), window, gram)
+        chosen = np.flatnonzero(np.repeat(maybe_repeated(found.anchor, anchors.value, log_cells), found.run))
+        k0, k1 = found.keys(chosen) if len(chosen) else (np.zeros(0, np.uint64),) * 2
+        return found, chosen, k0, k1
+
+    windows = context.broadcast(merged_sketch(source, lambda batch: passing(batch)[2], log_cells))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        bits = sketch.value
         for batch in batches:
-            found = Windows(batch.column("body").to_pylist(), window, gram)
-            cells = cells_of(found.anchor, log_cells)
-            maybe = ((bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).all(0)
-            chosen = np.flatnonzero(np.repeat(maybe, found.run))
-            if not len(chosen):
-                continue
-            k0, k1 = found.keys(chosen)
+            found, chosen, k0, k1 = passing(batch)
+            stays = maybe_repeated(k0, windows.value, log_cells)
+            chosen, k0, k1 = chosen[stays], k0[stays], k1[stays]
             text = pa.array(found.text[chosen])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k0.view(np.int64)), pa.array(k1.view(np.int64)), batch.column("id_key").take(text),
                  batch.column("text_key").take(text), pa.array(found.start[chosen].astype(np.int32))],
                 ["k0", "k1", "id_key", "text_key", "start"])
 
-    return in_arrow(_keyed(docs).drop("doc_id"), run, "k0 long, k1 long, id_key long, text_key long, start int")
+    return in_arrow(source, run, "k0 long, k1 long, id_key long, text_key long, start int")
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log_cells: int = LOG_CELLS) -> DataFrame:
-    """(id_key, text_key, starts): per text the windows that also start earlier.
+    """(id_key, text_key, copy, starts): per text the windows that also start earlier, or that all of it is a later copy.
 
     The first start of a key is a minimum, combined before the shuffle, and is
     joined back, so a window that a third of the texts share stays spread.
@@ -196,7 +244,9 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log
     at = F.struct("id_key", "start")
     first = found.groupBy("k0", "k1").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = found.join(first, ["k0", "k1"]).filter(at != F.col("first"))
-    return later.groupBy("id_key", "text_key").agg(F.collect_list("start").alias("starts"))
+    copies = _keyed(docs).drop("body").join(first_texts(docs), ["text_key", "text_key2"]).filter("id_key > first_id")
+    marks = later.select("id_key", "text_key", "start").unionByName(copies.select("id_key", "text_key", F.lit(None).cast("int").alias("start")))
+    return marks.groupBy("id_key", "text_key").agg(F.bool_or(F.col("start").isNull()).alias("copy"), F.collect_list("start").alias("starts"))
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept binary"
@@ -217,10 +267,13 @@ def kept_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log_cell
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], []]
-            for body, starts in zip(batch.column("body").to_pylist(), batch.column("starts")):
+            for body, copy, starts in zip(batch.column("body").to_pylist(), batch.column("copy").to_pylist(), batch.column("starts")):
                 words = body.split()
                 gone = 0
-                if starts.is_valid:
+                if copy and len(words) >= window:
+                    gone = len(words)
+                    out[2].append(b"")
+                elif starts.is_valid and len(starts):
                     step = np.zeros(len(words) + 1, np.int64)
                     begin = starts.values.to_numpy()
                     np.add.at(step, begin, 1)
@@ -236,7 +289,7 @@ def kept_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log_cell
                 [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
                 ["doc_id", "n_words", "n_removed", "kept"])
 
-    return in_arrow(marked.select("doc_id", "body", "starts"), run, KEPT)
+    return in_arrow(marked.select("doc_id", "body", "copy", "starts"), run, KEPT)
 
 
 def substring_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log_cells: int = LOG_CELLS) -> DataFrame:
