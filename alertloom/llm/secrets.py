@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from alertloom.functions.arrays import prefix_sums
 from alertloom.session import write_and_read
 
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,21 +36,6 @@ ENCODINGS = [
 ]
 TEXT_CHANGES = 0.12  # share of class changes in ordinary text
 CLASSES = "[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+"
-BLOCK = 256
-
-
-def prefix_sums(values: Column) -> Column:
-    """Running sums of an array of longs, in blocks, so that long arrays don't cost their square."""
-    zero = F.array().cast("array<long>")
-
-    def running(part: Column) -> Column:
-        return F.aggregate(part, zero, lambda acc, v: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + v)))
-
-    count = F.ceil(F.size(values) / BLOCK).cast("int")
-    blocks = F.transform(F.filter(F.sequence(F.lit(0), count), lambda b: b < count), lambda b: running(F.slice(values, b * BLOCK + 1, BLOCK)))
-    ends = running(F.transform(blocks, lambda x: F.element_at(x, -1)))
-    before = F.concat(F.array(F.lit(0).cast("long")), ends)
-    return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda x, o: F.transform(x, lambda v: v + o)))
 
 
 def _matches(df: DataFrame, name: str, pattern: str, source: str = "body", masked: str | None = None) -> DataFrame:
