@@ -11,12 +11,8 @@ NEARBY_STATUSES = ["active", "pending", "approved"]
 HIDDEN_STATUSES = ["rejected", "invalid"]
 SKEW_MINUTES = 15
 WINDOW_DAYS = 7
-LIMITS = {  # default, maximum
-    "active": (50, 200),
-    "history": (100, 500),
-    "map": (500, 1000),
-    "nearby": (50, 200),
-}
+LIMITS = {"active": 50, "history": 100, "map": 500, "nearby": 50}  # page sizes where none is given
+DESCRIPTION_CHARS = 2000  # of a bulletin's text shown as its description
 UNHEALTHY_AFTER = 3
 
 # --- fixed values: geography -----------------------------------------------
@@ -84,7 +80,6 @@ COLLECTION_OF_TYPE = {
     "DAM": "geographic_features", "BARRAGE": "geographic_features",
     "COASTAL_AREA": "geographic_features",
 }
-COLLECTION_ORDER = ["cities", "tehsils", "districts", "divisions", "provinces", "geographic_features"]
 TYPE_PRIORITY = {
     "GOVERNMENT_AGENCY": 100, "ISSUING_OFFICE": 99, "WEATHER_OFFICE": 98,
     "COUNTRY": 97, "CITY": 90, "TOWN": 85, "TEHSIL": 80, "DISTRICT": 75,
@@ -152,6 +147,20 @@ RIVER_DISTRICTS = {
 # --- fixed values: flood bulletins ------------------------------------------
 BULLETIN_PARSER = "ffd-deterministic-v4"
 BULLETIN_RIVERS = ["Indus", "Kabul", "Jhelum", "Chenab", "Ravi", "Sutlej"]
+BULLETIN_HEADINGS = [  # kind, wording; a bulletin's text runs on one line between them
+    ("page", "GOVERNMENT OF PAKISTAN"), ("glance", "Rivers at a glance"), ("scale", "Flood severity scale"), ("rain", "RAINFALL FORECAST"),
+    ("hydrology", "I: HYDROLOGICAL SITUATION"), ("hydrology", "1: HYDROLOGICAL SITUATION"), ("warning", "WARNING:"),
+    ("features", "II: METEOROLOGICAL FEATURES"), ("day", "III: WEATHER FORECAST FOR 24-HOURS"), ("days", "IV: WEATHER OUTLOOK FOR NEXT 48-HOURS"),
+    ("week", "2. WEEKLY WEATHER OUTLOOK"), ("table", "4. QUANTITATIVE FLOOD FORECAST"), ("spatial", "Spatial:"), ("near", "5. HOW CLOSE IS EACH RIVER"),
+]
+BULLETIN_ENDS = {  # section: kinds of headings that end it
+    "glance": ["scale", "rain"], "hydrology": ["warning", "features"], "warning": ["page", "features", "week"],
+    "day": ["days", "page"], "days": ["page", "week"], "table": ["spatial", "near"],
+}
+BULLETIN_TAILS = {  # words that may follow a heading and belong to it
+    "hydrology": r"^ ?(?:at \d{4} PST)? ?(?:AND OUTLOOK)?", "table": "^ ?OF GAUGING STATIONS",
+}
+BULLETIN_COLUMNS = ("RIVERS Stations Actual Observations", "Season 2026")  # first and last words of the table's own head
 LEVEL_RANK = {
     "below low": 0, "low": 1, "medium": 2, "high": 3, "very high": 4, "exceptionally high": 5,
 }

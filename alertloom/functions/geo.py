@@ -108,7 +108,7 @@ def neighbour_keys(lat: Column, lng: Column, radius_km: float) -> Column:
 
 # ---- map tiles -----------------------------------------------------------------
 def mercator_cell(lat: Column, lng: Column, zoom: int, pixels: int = K.CLUSTER_RADIUS_PX) -> tuple[Column, Column]:
-    size = 256.0 * (2 ** min(zoom, K.CLUSTER_MAX_ZOOM))
+    size = 256.0 * 2**zoom
     s = F.sin(F.radians(lat))
     x = (lng + 180.0) / 360.0
     y = 0.5 - F.log((1 + s) / (1 - s)) / (4 * math.pi)

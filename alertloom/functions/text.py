@@ -259,6 +259,6 @@ def _array_name(c: Column) -> Column:
     return F.coalesce(*[F.when(name == s, full) for s, full in K.NAME_EXPANSIONS.items()], name)
 
 
-def fallback_sentences(description: Column) -> Column:
+def fallback_sentences(description: Column, n: int = 6) -> Column:
     parts = F.transform(F.split(F.coalesce(description, F.lit("")), r"(?<=[.!?])\s+(?=[A-Z])"), F.trim)
-    return F.slice(F.filter(parts, lambda p: p != ""), 1, 6)
+    return F.slice(F.filter(parts, lambda p: p != ""), 1, n)

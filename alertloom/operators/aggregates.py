@@ -57,13 +57,13 @@ def type_counts(gazetteer: DataFrame) -> DataFrame:
     return gazetteer.groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
-def ambiguous_aliases(names: DataFrame, first: int = 500) -> DataFrame:
-    """(normalised name, how many records, one row per record id) for the first
-    names, in name order, that more than one record carries."""
+def ambiguous_aliases(names: DataFrame, first: int | None = None) -> DataFrame:
+    """(normalised name, how many records, one row per record id) for the names
+    that more than one record carries; ``first`` keeps so many, in name order."""
     pairs = names.filter("name <> ''").select("name", "location_id").distinct()
     counts = pairs.groupBy("name").agg(F.count("*").alias("n_records")).filter("n_records > 1")
-    kept = counts.orderBy("name").limit(first)
-    return pairs.join(F.broadcast(kept), "name")  # at most ``first`` rows
+    kept = counts if first is None else counts.orderBy("name").limit(first)
+    return pairs.join(kept, "name")
 
 
 def source_health_counts(sources: DataFrame) -> DataFrame:
@@ -98,7 +98,13 @@ def location_groups(locations: DataFrame) -> DataFrame:
 
 
 def tile_clusters(points: DataFrame, zoom: int) -> DataFrame:
+    """Points per grid cell of a zoom level. Above ``CLUSTER_MAX_ZOOM`` nothing
+    is clustered: every point is a row of its own, count 1."""
     x, y = geo.mercator_cell(F.col("latitude"), F.col("longitude"), zoom)
+    if zoom > K.CLUSTER_MAX_ZOOM:
+        return points.filter(geo.valid_country(F.col("latitude"), F.col("longitude"))).select(
+            x.alias("cell_x"), y.alias("cell_y"), F.lit(1).cast("bigint").alias("point_count"), F.col("latitude").alias("lat"),
+            F.col("longitude").alias("lng"), F.lit("small").alias("size_class"))
     low, high = K.CLUSTER_CLASSES
     n = F.col("point_count")
     return (

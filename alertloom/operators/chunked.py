@@ -13,6 +13,19 @@ BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, 0)
 
 
+def time_chunks(df: DataFrame, time: str, rows: int = 1_000_000) -> Column:
+    """A chunk number that grows with ``time`` and cuts the table into stretches
+    of about ``rows`` rows, however they are spread over days and keys."""
+    n = df.count()
+    seconds = F.col(time).cast("double")
+    cuts = -(-n // rows)
+    if cuts < 2:
+        return F.lit(0)
+    edges = df.select(seconds.alias("t")).approxQuantile("t", [i / cuts for i in range(1, cuts)], 0.2 / cuts)
+    passed = F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e <= seconds)
+    return F.coalesce(F.size(passed), F.lit(0))
+
+
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
                   values: dict[str, Column]) -> DataFrame:
     """Adds, per name, the last non-null value strictly before each row.

@@ -54,12 +54,13 @@ def assign_hierarchy(records: DataFrame) -> DataFrame:
     }).drop("l1", "l2", "l3")
 
 
-def alternate_names(records: DataFrame, alt: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(alias rows, Urdu names). ``alt``: geonames_id, language, alternate_name, pos."""
+def alternate_names(records: DataFrame, alt: DataFrame, longest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(alias rows, Urdu names). ``alt``: geonames_id, language, alternate_name,
+    pos. ``longest`` leaves out longer aliases (off by default)."""
     joined = records.select("id", "geonames_id").join(alt, "geonames_id")
     size = F.length("alternate_name")
     lang = F.coalesce("language", F.lit(""))
-    aliases = joined.filter(lang.isin("en", "ur", "") & (size > 1) & (size <= 120)).select(
+    aliases = joined.filter(lang.isin("en", "ur", "") & (size > 1) & (size <= (longest or 2**31 - 1))).select(
         "id", F.col("alternate_name").alias("alias"), "pos")
     urdu = joined.filter((F.col("language") == "ur") & (F.col("alternate_name") != "")).groupBy("id").agg(
         F.min_by("alternate_name", "pos").alias("urdu_name"))

@@ -28,6 +28,11 @@ def _own_key() -> Column:
     return F.when(filled(F.col("source_alert_id")).isNotNull(), _key("id", "source_id", "source_alert_id"))
 
 
+def stable_id(key: Column) -> Column:
+    """A positive id that depends on the key alone: 60 bits of its MD5."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def match_keys(batch: DataFrame, current: DataFrame) -> DataFrame:
     """Adds ``match_key`` and ``stored_id`` (null for unknown alerts).
 
@@ -64,7 +69,9 @@ def classify(batch: DataFrame, current: DataFrame, chunk_rows: int = CHUNK_ROWS)
     """One row per incoming row: ``action``, ``revised``, ``changed_fields``,
     ``previous_hash``, ``alert_id``.
 
-    ``batch.seq`` (non-negative, unique) orders arrivals. After any outcome the
+    ``batch.seq`` (non-negative, unique) orders arrivals. A new alert's id
+    depends on its match key alone, so it is the same however arrivals are cut
+    into batches; should two keys ever share one, the job stops. After any outcome the
     stored hash, cache key and advisory equal the incoming ones, so the previous
     row of the chain decides; the stored description however changes only when
     content was accepted, so that one is carried from the last accepted row.
@@ -76,8 +83,13 @@ def classify(batch: DataFrame, current: DataFrame, chunk_rows: int = CHUNK_ROWS)
     wanted = keyed.filter("stored_id IS NOT NULL").select(F.col("stored_id").alias("id"), "match_key").distinct()
     seeds = current.join(wanted, "id").withColumn("seq", F.lit(-1).cast("bigint")).select(
         *cols, F.col("id").alias("alert_id"), F.lit(True).alias("is_seed"))
-    next_id = current.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("n")).scalar()
-    rows = keyed.select(*cols, (next_id + F.col("seq")).alias("alert_id"), F.lit(False).alias("is_seed")).unionByName(seeds)
+    fresh_id = stable_id(F.col("match_key"))
+    rows = keyed.select(*cols, fresh_id.alias("alert_id"), F.lit(False).alias("is_seed")).unionByName(seeds)
+    unknown = keyed.filter("stored_id IS NULL").select(fresh_id.alias("id"), "match_key").distinct()
+    shared = unknown.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id").unionByName(
+        unknown.select("id").join(current.select("id"), "id", "left_semi")).head(1)
+    if shared:
+        raise ValueError(f"two alerts would share the id {shared[0]['id']}")
 
     chunk = _chunk(F.col("seq"), F.col("is_seed"), chunk_rows)
     # Narrow rows, written once: the two passes below read them several times.

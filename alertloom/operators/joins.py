@@ -134,12 +134,15 @@ def geoip_join(log: DataFrame, ranges: DataFrame, address: str = "address") -> D
 
     Ranges explode over their /16 blocks (at most 65,536 + one per range), the
     log joins by block and tests the exact bounds; misses fall back by method.
+    Missing and private addresses have no block and stay out of the join.
     """
     blocks = ranges.withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("ip_start") / BLOCK), F.floor(F.col("ip_end") / BLOCK))))
-    probe = log.withColumn("block", F.when(ip.is_public(F.col(address)), F.floor(F.col(address) / BLOCK)))
+    public = F.coalesce(ip.is_public(F.col(address)), F.lit(False))
+    probe = log.filter(public).withColumn("block", F.floor(F.col(address) / BLOCK))
     hit = (probe["block"] == blocks["block"]) & probe[address].between(blocks["ip_start"], blocks["ip_end"])
     located = probe.join(blocks, hit, "left").drop("block", "ip_start", "ip_end")
+    located = located.unionByName(log.filter(~public), allowMissingColumns=True)
     found = geo.valid_world(F.col("lat"), F.col("lng"))
     a = F.col(address)
     method = (

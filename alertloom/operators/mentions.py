@@ -7,12 +7,13 @@ n-grams of the lengths that head word has then join the dictionary.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertloom import constants as K
 from alertloom.functions import text
+from alertloom.functions.arrays import prefix_sums
 from alertloom.operators import gazetteer as G
-from alertloom.session import broadcast_if_small, write_and_read
+from alertloom.session import write_and_read
 
 ALNUM = r"(?U)[\p{L}\p{N}]"
 
@@ -37,40 +38,42 @@ def searchable(words: DataFrame) -> DataFrame:
         F.length(first).alias("lead"))
 
 
-SEGMENT = 64  # tokens handled together; keeps work per token independent of text length
-BEHIND = 20  # characters kept left of a token: 16 of context and the boundary
-AROUND = 17  # characters kept right of the longest pattern
+BLOCK = 1024  # characters of text handled together; keeps work per token independent of text length
+CONTEXT = 16  # characters of context looked at on either side of a match
+AROUND = CONTEXT + 1  # characters kept right of the longest pattern
 
 
-def token_windows(texts: DataFrame, keys: list[str], column: str, reach: int) -> DataFrame:
+def token_windows(texts: DataFrame, keys: list[str], column: str, reach: int, behind: int = AROUND) -> DataFrame:
     """One row per token: keys, start in the folded text, the token (``head``)
     and the text just before it and from it on.
 
-    Long texts are cut into segments first, so no token row carries the text.
+    A text is cut into blocks in one pass. Each block row carries its own
+    characters, ``behind`` of the block before and what a pattern may reach
+    into the next one, so work and memory grow with the text and not its square.
     """
+    size = max(BLOCK, reach + AROUND, behind)
     folded = texts.select(*keys, text.fold(F.col(column)).alias("folded"))
-    tokens = folded.withColumn("tokens", F.split(_spaced(F.col("folded")), " "))
-    joined = lambda arr: F.length(F.array_join(arr, " "))
-    begin = lambda arr, i: joined(F.slice(arr, F.lit(1), i)) + F.when(i > 0, 1).otherwise(0)
-    segments = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)), F.lit(SEGMENT)),
-        lambda i: F.struct(begin(F.col("tokens"), i).alias("off"), F.slice("tokens", i + 1, SEGMENT).alias("toks")))
+    blocks = folded.select(*keys, F.regexp_extract_all("folded", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("blocks"))
+    near = lambda i, cut: F.coalesce(cut(F.get("blocks", i)), F.lit(""))
+    cut = F.transform("blocks", lambda b, k: F.struct(
+        (k * size).alias("off"), F.length(b).alias("own"),
+        near(k - 1, lambda x: F.right(x, F.lit(behind))).alias("left"),
+        F.concat(near(k - 1, lambda x: F.right(x, F.lit(behind))), b, near(k + 1, lambda x: F.left(x, F.lit(reach + AROUND)))).alias("part")))
     # Outer explodes: the inner form makes the optimizer evaluate the arrays a
     # second time as a size test. The join with the heads drops null tokens.
-    cut = tokens.select(*keys, "folded", F.explode_outer(segments).alias("s"))
-    left = F.least(F.col("s.off"), F.lit(BEHIND))
-    part = cut.select(
-        *keys, F.col("s.off").alias("off"), F.col("s.toks").alias("toks"), left.alias("left"),
-        F.substring(F.col("folded"), F.col("s.off") - left + 1, left + joined(F.col("s.toks")) + reach + AROUND).alias("part"))
-    placed = F.transform("toks", lambda t, p: F.struct(t.alias("head"), begin(F.col("toks"), p).alias("rel")))
+    part = blocks.select(*keys, F.explode_outer(cut).alias("b")).select(
+        *keys, F.col("b.off").alias("off"), F.col("b.own").alias("own"), F.length("b.left").alias("left"), F.col("b.part").alias("part"))
+    part = part.withColumn("toks", F.split(_spaced(F.col("part")), " "))
+    ends = prefix_sums(F.transform("toks", lambda t: (F.length(t) + 1).cast("long")), 64)
+    placed = F.zip_with("toks", ends, lambda t, e: F.struct(t.alias("head"), (e - F.length(t) - 1).cast("int").alias("rel")))
+    own = F.filter(placed, lambda t: (t["head"] != "") & (t["rel"] >= F.col("left")) & (t["rel"] < F.col("left") + F.col("own")))
     def window(t):
-        at = F.col("left") + t["rel"]
-        back = F.least(at, F.lit(BEHIND))
+        back = F.least(t["rel"], F.lit(behind))
         return F.struct(
-            t["head"].alias("head"), (F.col("off") + t["rel"]).alias("at"),
-            F.substring(F.col("part"), at - back + 1, back).alias("before"),
-            F.substring(F.col("part"), at + 1, F.lit(reach + AROUND)).alias("ahead"))
-    rows = part.select(*keys, F.explode_outer(F.transform(placed, window)).alias("w"))
+            t["head"].alias("head"), (F.col("off") + t["rel"] - F.col("left")).alias("at"),
+            F.substring(F.col("part"), t["rel"] - back + 1, back).alias("before"),
+            F.substring(F.col("part"), t["rel"] + 1, F.lit(reach + AROUND)).alias("ahead"))
+    rows = part.select(*keys, F.explode_outer(F.transform(own, window)).alias("w"))
     return rows.select(*keys, "w.head", "w.at", "w.before", "w.ahead")
 
 
@@ -80,11 +83,12 @@ def scan(texts: DataFrame, words: DataFrame, keys: list[str], column: str = "tex
     index = searchable(words).filter(
         (F.length("pattern") >= 3) | F.col("pattern").isin(K.SHORT_PATTERNS))
     size = F.length("pattern")
-    reach = index.agg(F.coalesce(F.max(size), F.lit(0))).first()[0]
-    heads = broadcast_if_small(index.select("head", "n_words").distinct(), row_bytes=60)
-    grams = broadcast_if_small(index.drop("head", "n_words"), row_bytes=300)
+    reach, lead = index.agg(F.coalesce(F.max(size), F.lit(0)), F.coalesce(F.max("lead"), F.lit(0))).first()
+    # No hints: the planner broadcasts these by their measured size or splits
+    # the partitions of hot words.
+    heads, grams = index.select("head", "n_words").distinct(), index.drop("head", "n_words")
 
-    rows = token_windows(texts, keys, column, reach).join(heads, "head")
+    rows = token_windows(texts, keys, column, reach, AROUND + lead).join(heads, "head")
     # Fewer words left than asked for gives a shorter text; the exact test
     # below could then pass for several word counts, so the count must fit.
     spaced = _spaced(F.col("ahead"))
@@ -112,15 +116,22 @@ def scan(texts: DataFrame, words: DataFrame, keys: list[str], column: str = "tex
 def remove_contained(spans: DataFrame, keys: list[str], keep: str | None = None) -> DataFrame:
     """Drop a span inside an earlier kept span of another entity.
 
-    The spans of one text (at most a few per word of a single row) are folded
-    in order. Starts only grow, so the furthest end of the kept spans, and the
-    furthest end among entities other than that one's, decide containment.
-    ``keep`` names a flag column: spans without it take no part (a flag, not a
-    filter, so that the optimizer does not evaluate it twice).
+    Spans are cut into islands: a span that starts at or after the end of all
+    spans before it can't lie inside any of them. Within an island, a few
+    spans as a rule, they are folded in order. Starts only grow, so the
+    furthest end of the kept spans, and the furthest end among entities other
+    than that one's, decide containment. ``keep`` names a flag column: spans
+    without it take no part (a flag, not a filter, so that the optimizer does
+    not evaluate it twice).
     """
     payload = [c for c in spans.columns if c not in keys and c != keep]
+    rows = spans.filter(keep) if keep else spans
+    earlier = Window.partitionBy(*keys).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*keys).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.coalesce(F.col("start") >= F.col("__reach"), F.lit(True)).cast("int")
+    rows = rows.withColumn("__reach", F.max("end").over(earlier)).withColumn("__island", F.sum(opens).over(so_far))
     span = F.struct("start", (-F.col("end")).alias("__o"), *[c for c in payload if c != "start"])
-    spans_of_text = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col(keep), span) if keep else span)).alias("spans"))
+    spans_of_text = rows.groupBy(*keys, "__island").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     element = spans_of_text.schema["spans"].dataType.elementType
     none = F.lit(None).cast(spans_of_text.schema["spans"].dataType)
     far = lambda end, who, other: F.struct(end.alias("end"), who.alias("who"), other.alias("other"))

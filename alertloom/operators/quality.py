@@ -96,16 +96,16 @@ def validate_gazetteer(records: DataFrame) -> DataFrame:
 def circular(links: DataFrame) -> DataFrame:
     """Ids whose parent walk never ends.
 
-    Every round moves all walks one parent up and drops finished ones. While a
-    finite walk is left, each round ends at least one (its ancestors are walks
-    of every smaller length), so an unchanged count means only loops remain:
-    rounds = depth of the hierarchy, not a guess.
+    Every round doubles the length of all walks and drops those that end on
+    the way. While a finite walk is left, so is one of every smaller length, so
+    each round ends at least one; an unchanged count means that only loops
+    remain. Rounds = log2 of the depth of the hierarchy.
     """
-    links = write_and_read(links.filter("parent_id IS NOT NULL"), "gazetteer-links")
-    walks, alive = links.select("id", F.col("parent_id").alias("at")), links.count()
-    step = links.select(F.col("id").alias("at"), F.col("parent_id").alias("next"))
+    walks = write_and_read(links.filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at")), "gazetteer-walks")
+    alive = walks.count()
     while alive:
-        walks = write_and_read(walks.join(step, "at").select("id", F.col("next").alias("at")), "gazetteer-walks")
+        onward = walks.select(F.col("id").alias("at"), F.col("at").alias("next"))
+        walks = write_and_read(walks.join(onward, "at").select("id", F.col("next").alias("at")), "gazetteer-walks")
         left = walks.count()
         if left == alive:
             break

@@ -36,11 +36,12 @@ def _block(heading: str, *lines: Column) -> Column:
 
 
 def report_sections(alerts: DataFrame, locations: DataFrame, sources: DataFrame, raw_docs: DataFrame,
-                    revisions: DataFrame, counts: DataFrame, action: str = "CREATED") -> DataFrame:
+                    revisions: DataFrame, counts: DataFrame, action: str = "CREATED", raw_chars: int | None = None) -> DataFrame:
     """Section rows of every alert's report.
 
     ``raw_docs``: newest raw document per source; ``revisions``: newest
-    revision per alert (changed_fields array); ``counts``: id, revision_count.
+    revision per alert (changed_fields array); ``counts``: id, revision_count;
+    ``raw_chars``: how much of the raw text a report shows (all by default).
     """
     src = sources.select(F.col("id").alias("source_id"), F.col("name").alias("s_name"), F.col("scrape_url").alias("s_url"))
     doc = raw_docs.select("source_id", *[F.col(c).alias(f"d_{c}") for c in ("url", "content_type", "content_hash", "http_status", "retrieved_at")])
@@ -51,17 +52,25 @@ def report_sections(alerts: DataFrame, locations: DataFrame, sources: DataFrame,
         alerts.join(src, "source_id", "left").join(doc, "source_id", "left").join(rev, "id", "left")
         .join(counts.select("id", "revision_count"), "id", "left").join(placed, "id", "left"))
     col = F.col
+    shown = F.coalesce(text.filled(col("raw_text")), text.filled(col("description")), F.lit("N/A"))
     a = a.withColumns({
         "t_title": text.to_ascii(col("title")), "t_desc": text.to_ascii(col("description")),
-        "t_raw": text.to_ascii(F.substring(F.coalesce(text.filled(col("raw_text")), text.filled(col("description")), F.lit("N/A")), 1, 3000)),
+        "t_raw": text.to_ascii(shown if raw_chars is None else F.substring(shown, 1, raw_chars)),
         "t_ctx": text.to_ascii(F.concat_ws("\n", text.py_text(col("title")), text.py_text(col("description")), F.coalesce("raw_text", F.lit("")))),
         "revision_count": F.coalesce("revision_count", F.lit(1)),
     })
     upper = lambda c: F.upper(c)
     summary = lambda label, value: _line(label, value, 18)
     advice = text.safety_instructions(col("hazard_type"), col("t_ctx"))
-    numbered = F.transform(advice, lambda s, i: F.concat(
-        (i + 1).cast("string"), F.lit(". "), F.replace(text._fill(s, 71), F.lit("\n"), F.lit("\n   "))))
+
+    def item(s, i):
+        """Lines of 74 with a hanging indent of 3; a longer number takes its place from the first line."""
+        number = F.concat((i + 1).cast("string"), F.lit(". "))
+        more = F.length(number) - 3
+        filled = text._fill(F.concat(F.repeat(F.lit("x"), more), s), 71)
+        return F.concat(number, F.replace(F.substring(filled, more + 1, F.length(filled)), F.lit("\n"), F.lit("\n   ")))
+
+    numbered = F.transform(advice, item)
     errors = F.from_json("validation_errors", "array<string>")
     listed = lambda items, lead: F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(lead), x)), "\n")
     sections = {

@@ -189,9 +189,10 @@ def resolve_description(alerts: DataFrame, conditions: DataFrame, ix: Index) ->
     return rows.select("id", p.alias("p")).select("id", "p.*")
 
 
-def river_candidates(alerts: DataFrame, conditions: DataFrame) -> DataFrame:
+def river_candidates(alerts: DataFrame, conditions: DataFrame, districts_per_river: int = 2) -> DataFrame:
     """(id, rank, kind, district, matched, phase, place): structured rows, then
-    stations found in the text (as plain substrings), then named rivers."""
+    stations found in the text (as plain substrings), then named rivers, each
+    with the first ``districts_per_river`` of its districts."""
     cols = ["id", "rank", "kind", "district", "matched", "phase", "place"]
     structured = joins.map_conditions(conditions).withColumns({
         "rank": level_rank(F.col("level"), 1), "phase": F.lit(0),
@@ -204,7 +205,7 @@ def river_candidates(alerts: DataFrame, conditions: DataFrame) -> DataFrame:
     stations = [F.when(F.col("low").contains(s), item(2, d, s, 1, i)) for i, (s, d) in enumerate(K.STATION_DISTRICT.items())]
     rivers = [
         F.when(F.col("low").contains(f"river {r}") | F.col("low").contains(f"{r} river"), item(1, d, r, 2, i * 10 + j))
-        for i, (r, names) in enumerate(K.RIVER_DISTRICTS.items()) for j, d in enumerate(names[:2])]
+        for i, (r, names) in enumerate(K.RIVER_DISTRICTS.items()) for j, d in enumerate(names[:districts_per_river])]
     found = alerts.select("id", low.alias("low")).select(
         "id", F.explode(F.array_compact(F.array(*stations, *rivers))).alias("c")).select("id", "c.*")
     return structured.select(*cols).unionByName(found.select(*cols))

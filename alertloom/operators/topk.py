@@ -16,12 +16,8 @@ def severity_rank(severity: Column, other: int = 99) -> Column:
     return F.coalesce(*arms, F.lit(other))
 
 
-def bounded(kind: str, limit: int | None) -> int:
-    default, maximum = K.LIMITS[kind]
-    limit = default if limit is None else limit
-    if limit > maximum:
-        raise ValueError(f"{kind} limit is at most {maximum}")
-    return limit
+def page_size(kind: str, limit: int | None) -> int:
+    return K.LIMITS[kind] if limit is None else limit
 
 
 def newest(df: DataFrame, order: Column, n: int) -> DataFrame:
@@ -34,14 +30,14 @@ def active_alerts(alerts: DataFrame, locations: DataFrame, as_of, province=None,
     rows = filters.unexpired(filters.status_in(alerts, K.ACTIVE_STATUSES), as_of)
     rows = filters.search(filters.eq_filters(rows, hazard, severity), search)
     rows = filters.admin_filter(rows, locations, province, district)
-    page = newest(filters.prune_payload(rows), F.col("issued_at"), bounded("active", limit))
+    page = newest(filters.prune_payload(rows), F.col("issued_at"), page_size("active", limit))
     rank = severity_rank(F.coalesce("normalized_severity", F.lit("unknown")))
     return page.orderBy(rank, F.col("issued_at").desc_nulls_last(), "id")
 
 
 def alert_history(alerts: DataFrame, hazard=None, search=None, limit: int | None = None) -> DataFrame:
     rows = filters.search(filters.eq_filters(alerts, hazard), search)
-    return newest(filters.prune_payload(rows), F.col("issued_at"), bounded("history", limit))
+    return newest(filters.prune_payload(rows), F.col("issued_at"), page_size("history", limit))
 
 
 def map_alerts(alerts: DataFrame, locations: DataFrame, resolutions: DataFrame, sources: DataFrame, as_of,
@@ -55,9 +51,9 @@ def map_alerts(alerts: DataFrame, locations: DataFrame, resolutions: DataFrame,
     rows = filters.in_window(rows, as_of, days, hours)
     rows = filters.admin_filter(rows, locations, province, district, city, substring=True)
     rows = rows.withColumn("effective_at", filters.effective(rows))
-    # At most the map limit of rows. Written once, because four joins below use
-    # it and would otherwise each scan the alerts again; safe to broadcast.
-    page = F.broadcast(write_and_read(newest(rows.drop("raw_text"), F.col("effective_at"), bounded("map", limit)), "map-page"))
+    # Written once, because four joins below use it and would otherwise each
+    # scan the alerts again.
+    page = write_and_read(newest(rows.drop("raw_text"), F.col("effective_at"), page_size("map", limit)), "map-page")
 
     place = F.struct("loc_id", "province", "district", "city", "latitude", "longitude")
     usable = geo.valid_country(F.col("latitude"), F.col("longitude")) & ~((F.col("latitude") == 0) & (F.col("longitude") == 0))
@@ -105,7 +101,7 @@ def nearby_alerts(alerts: DataFrame, locations: DataFrame, sources: DataFrame, a
     page = (
         rows.select("id", "title", "normalized_severity", "hazard_type", "status", "issued_at", "source_name")
         .join(near, "id").orderBy("distance", *_nearby_rank())
-        .offset(offset).limit(bounded("nearby", limit))
+        .offset(offset).limit(page_size("nearby", limit))
     )
     return page.withColumn("distance_km", geo.round_km(F.col("distance")))
 
@@ -117,9 +113,11 @@ def nearby_for_viewers(alerts: DataFrame, locations: DataFrame, viewers: DataFra
     Equal coordinates collapse to one place. A place keeps only its best
     ``limit + offset`` alerts, which is exact: an alert dropped at a place has
     that many better-ranked alerts at the same distance or nearer. Viewers then
-    meet places, not alerts, in the grid join.
+    meet places, not alerts, in the grid join, and a place meets its alerts only
+    if strictly nearer places hold fewer than ``limit + offset`` alerts of their
+    own (alerts with one place alone, so that none counts twice).
     """
-    n = bounded("nearby", limit) + offset
+    n = page_size("nearby", limit) + offset
     live = filters.ci_filters(alerts, as_of).select("id", "normalized_severity", "issued_at")
     spots = (
         locations.filter(geo.valid_world(F.col("latitude"), F.col("longitude")))
@@ -127,8 +125,12 @@ def nearby_for_viewers(alerts: DataFrame, locations: DataFrame, viewers: DataFra
     )
     at_place = Window.partitionBy("latitude", "longitude").orderBy(*_nearby_rank())
     best = spots.withColumn("r", F.row_number().over(at_place)).filter(F.col("r") <= n).drop("r")
-    places = best.select("latitude", "longitude").distinct()
+    single = spots.groupBy("id").agg((F.count(F.lit(1)) == 1).cast("int").alias("single"))
+    places = best.join(single, "id").groupBy("latitude", "longitude").agg(F.sum("single").alias("own"))
     pairs = joins.within_radius(viewers, places, radius_km)
+    so_far = F.sum("own").over(Window.partitionBy("viewer_id").orderBy("distance").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    as_far = F.sum("own").over(Window.partitionBy("viewer_id", "distance"))
+    pairs = pairs.withColumn("nearer", so_far - as_far).filter(F.col("nearer") < n).drop("nearer", "own")
     hits = pairs.join(best, ["latitude", "longitude"]).groupBy("viewer_id", "id", "normalized_severity", "issued_at").agg(
         F.min("distance").alias("distance"))
     per_viewer = Window.partitionBy("viewer_id").orderBy("distance", *_nearby_rank())

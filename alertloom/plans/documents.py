@@ -111,7 +111,7 @@ GLANCE = " UNION ALL ".join(f"SELECT doc_id, '{r}' AS river, {s} AS station, {le
 
 @query("b4_glance_rows", GLANCE)
 def _(spark, d):
-    rows = rendered(spark, d).select("doc_id", F.explode(B.glance_rows(B.one_line(F.col("raw_text")))).alias("r"))
+    rows = B.sections(rendered(spark, d)).select("doc_id", F.explode_outer(B.glance_rows(F.col("__parts"))).alias("r")).filter("r IS NOT NULL")
     return rows.select("doc_id", "r.river", "r.station", "r.level")
 
 
@@ -127,7 +127,7 @@ def _(spark, d):
 
 @query("b6_forecast_rows", f"SELECT doc_id, 'Indus' AS river, 'Chashma' AS station, {level(1)} AS forecast_level, 'Decreasing' AS trend, doc_id % 500 + 0.5::DOUBLE AS current_inflow, 302.25::DOUBLE AS current_outflow FROM {DOCS} UNION ALL SELECT doc_id, 'Chenab', 'Trimmu', 'Low to Medium', 'Increasing', 94.7, 81.3 FROM {DOCS} UNION ALL SELECT doc_id, 'Sutlej', 'Sulemanki', 'Below Low', 'No significant change', 16.9, 6.3 FROM {DOCS}")
 def _(spark, d):
-    rows = rendered(spark, d).select("doc_id", F.explode(B.forecast_rows(B.one_line(F.col("raw_text")))).alias("r"))
+    rows = B.sections(rendered(spark, d)).select("doc_id", F.explode_outer(B.forecast_rows(F.col("__parts"))).alias("r")).filter("r IS NOT NULL")
     return rows.select("doc_id", "r.river", "r.station", "r.forecast_level", "r.trend", "r.current_inflow", "r.current_outflow")
 
 
@@ -287,7 +287,7 @@ def _(spark, d):
 LINK_PAGES = r"""SELECT page_id, regexp_replace(html, 'href="/(\\w+)"', 'href="//files/$1.pdf"') AS html FROM pages"""
 
 
-@query("s5_extract_links", r"""SELECT page_id, link_no, link FROM (SELECT page_id, unnest(l[1:5]) AS link, unnest(range(0, least(len(l), 5))) AS link_no FROM (SELECT page_id, list_transform(list_distinct_ordered, lambda u: 'https://base.example/files/' || u || '.pdf') AS l FROM (
+@query("s5_extract_links", r"""SELECT page_id, link_no, link FROM (SELECT page_id, unnest(l) AS link, unnest(range(0, len(l))) AS link_no FROM (SELECT page_id, list_transform(list_distinct_ordered, lambda u: 'https://base.example/files/' || u || '.pdf') AS l FROM (
 SELECT page_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS list_distinct_ordered FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<a [^>]*?href="/(\w+)"', 1) AS a FROM pages) p) q) r) s""")
 def _(spark, d):
     pages = spark.sql(LINK_PAGES.replace("FROM pages", "FROM {t}"), t=view(spark, d, "pages"))

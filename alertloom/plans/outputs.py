@@ -111,6 +111,17 @@ def stream_view(spark, d, name, source):
     return spark.sql(VIEWS[name](SparkDialect()), **{source: stream_table(spark, d, source)})
 
 
+def landed_view(spark, d, name, order, files=4):
+    """A domain view landed in several files, in some order, and streamed one file per trigger."""
+    rows, folder = view(spark, d, name), new_folder(spark, "landing")
+    bounds = rows.agg(F.min(order).alias("low"), F.max(order).alias("high"))
+    cut = F.least(F.floor((F.col(order).cast("double") - F.col("low").cast("double")) * files / (F.col("high").cast("double") - F.col("low").cast("double"))), F.lit(files - 1))
+    for k in range(files):
+        part = rows.join(F.broadcast(bounds)).filter(F.coalesce(cut, F.lit(0)) == k).drop("low", "high")  # one row of bounds
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return ST.stream_documents(spark, folder, rows.schema, max_files=1)
+
+
 def sink(stream, spark, mode="append"):
     folder = new_folder(spark, "stream-out")
     ST.run_available(stream, lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/batch={i}"), mode)
@@ -130,7 +141,7 @@ def _(spark, d):
 
 def upsert_job(spark, d):
     sql = BATCH.replace("FROM alert_versions", "FROM {v}")
-    stream = spark.sql(sql, v=stream_view(spark, d, "alert_versions", "events"))
+    stream = spark.sql(sql, v=landed_view(spark, d, "alert_versions", "seq"))
     return ST.stream_upsert(stream, batch_and_stored(spark, d)[1])
 
 
@@ -152,7 +163,7 @@ def _(spark, d):
 
 @query("st6_stream_window_counts", f"""SELECT strftime(w, '%Y-%m-%d') AS w_start, hazard_type, count(*) AS n FROM (SELECT hazard_type, unnest(generate_series(date_trunc('day', received_at) - INTERVAL 6 DAY, date_trunc('day', received_at), INTERVAL 1 DAY)) AS w FROM alert_versions WHERE received_at <= TIMESTAMP '2024-01-20 00:15:00') z GROUP BY 1, 2""")
 def _(spark, d):
-    stream = stream_view(spark, d, "alert_versions", "events").select("received_at", "hazard_type")
+    stream = landed_view(spark, d, "alert_versions", "received_at").select("received_at", "hazard_type")
     out = ST.stream_window_counts(stream, "2024-01-20 00:00:00", "received_at")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("w_start"), "hazard_type", "n")
 
@@ -160,14 +171,14 @@ def _(spark, d):
 @query("st7_stream_health", """SELECT p.source_id, count(*) FILTER (NOT ok AND (g.at IS NULL OR checked_at > g.at)) AS consecutive_failures, CASE WHEN count(*) FILTER (NOT ok AND (g.at IS NULL OR checked_at > g.at)) >= 3 THEN 'unhealthy' ELSE 'healthy' END AS health_status
 FROM poll_log p LEFT JOIN (SELECT source_id, max(checked_at) AS at FROM poll_log WHERE ok GROUP BY source_id) g ON g.source_id = p.source_id GROUP BY p.source_id""")
 def _(spark, d):
-    return ST.stream_health(stream_view(spark, d, "poll_log", "events")).select("source_id", "consecutive_failures", "health_status")
+    return ST.stream_health(landed_view(spark, d, "poll_log", "event_id")).select("source_id", "consecutive_failures", "health_status")
 
 
 @query("st8_stream_summary", f"""SELECT (SELECT count(DISTINCT alert_id) FROM ({CLASSIFIED}) c) AS alerts_in_store, 0 AS active_alerts_count, (SELECT count(DISTINCT district) FROM alert_locations WHERE alert_id IN (SELECT alert_id FROM ({CLASSIFIED}) c)) AS affected_districts_count,
 (SELECT count(*) FROM source_status WHERE consecutive_failures = 0 AND health_status <> 'unhealthy') AS healthy_sources_count""")
 def _(spark, d):
     sql = BATCH.replace("FROM alert_versions", "FROM {v}")
-    stream = spark.sql(sql, v=stream_view(spark, d, "alert_versions", "events"))
+    stream = spark.sql(sql, v=landed_view(spark, d, "alert_versions", "seq"))
     stored = batch_and_stored(spark, d)[1]
     out = ST.stream_summary(stream, stored, view(spark, d, "alert_locations"), view(spark, d, "source_status"))
     total = view(spark, d, "alert_versions").agg(F.countDistinct("source_alert_id").alias("n")).scalar()

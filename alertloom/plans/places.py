@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from alertloom import constants as K
 from alertloom.functions import text
-from alertloom.operators import aggregates as A, gazetteer as G, identity as I, joins as J, mentions as M, resolve as R, topk as T
+from alertloom.operators import aggregates as A, gazetteer as G, identity as I, ingest as ING, joins as J, mentions as M, resolve as R, topk as T
 from alertloom.plans import oracle_sql as O
 from alertloom.plans.reads import CONDITIONS, LEVEL_SQL, MAPPED, RIVER_SQL, RIVER_VALUES, STATION_SQL, STATION_VALUES, conditions
 from alertloom.plans.registry import query
-from alertloom.session import spread
+from alertloom.session import spread, write_and_read
 from alertloom.sources.views import view
 
 AFFIX = "(?:district|distt?|zila)"
@@ -192,7 +192,7 @@ def _(spark, d):
 NAMES = f"SELECT {loc_name('canonical_name')} AS name, location_id FROM gazetteer UNION ALL SELECT {loc_name('alias')}, location_id FROM gazetteer WHERE alias IS NOT NULL"
 
 
-@query("a5_ambiguous_aliases", f"""WITH p AS (SELECT DISTINCT name, location_id FROM ({NAMES}) n WHERE name <> ''), c AS (SELECT name, count(*) AS n_records FROM p GROUP BY name HAVING count(*) > 1 ORDER BY name LIMIT 500)
+@query("a5_ambiguous_aliases", f"""WITH p AS (SELECT DISTINCT name, location_id FROM ({NAMES}) n WHERE name <> ''), c AS (SELECT name, count(*) AS n_records FROM p GROUP BY name HAVING count(*) > 1)
 SELECT p.name, c.n_records, p.location_id FROM p JOIN c ON p.name = c.name""")
 def _(spark, d):
     g = gaz(spark, d)
@@ -485,3 +485,59 @@ CASE WHEN r1.id IS NOT NULL THEN r1.city WHEN r2.id IS NOT NULL THEN r2.city ELS
 def _(spark, d):
     out = R.primary_location(advisories(spark, d), structured(spark, d), advisory_conditions(spark, d), index(spark, d))
     return out.select("id", "method", "district", "city")
+
+
+# ---- ingest -----------------------------------------------------------------------------
+# Two deliveries of the advisories: the first without every fifth one, the second
+# with all, where every fourth has a longer description.
+NO_TEXT = ", ".join(f"CAST(NULL AS {t}) AS {n}" for n, t in (("official_severity", "STRING"), ("starts_at", "TIMESTAMP"), ("expires_at", "TIMESTAMP")))
+DELIVERY = f"""SELECT {{seq}} AS seq, source_id, source_alert_id, title, {{text}} AS description, 'weather' AS hazard_type, 'unknown' AS normalized_severity, {NO_TEXT},
+CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS issued_at, 'pending' AS status, 'https://a.example' AS source_url, raw_text, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS created_at,
+raw_location, CAST(loc_lat AS DOUBLE) AS latitude, CAST(loc_lng AS DOUBLE) AS longitude FROM {{{{advisories}}}}"""
+LONGER = "CASE WHEN id % 4 = 1 THEN concat(coalesce(description, ''), ' Updated.') ELSE description END"
+
+
+def two_deliveries(spark, d):
+    rows = advisories(spark, d)
+    first = spark.sql(DELIVERY.format(seq="id", text="description") + " WHERE id % 5 <> 0", advisories=rows)
+    second = spark.sql(DELIVERY.format(seq="id + 1000000000", text=LONGER), advisories=rows)
+    ix = index(spark, d)
+    stored = ING.ingest(first, ING.empty_store(spark), ix)
+    held = {n: write_and_read(stored[n], f"stored-{n}") for n in ING.STORE}
+    return ING.ingest(second, held, ix)
+
+
+PLACED = f"WITH kept AS MATERIALIZED ({KEPT}), placed AS (SELECT id, numeric_id FROM kept UNION ALL SELECT id, numeric_id FROM ({DERIVED}) x)"
+ACTION = "CASE WHEN id % 5 = 0 THEN 'created' WHEN id % 4 = 1 THEN 'updated' ELSE 'ignored' END"
+
+
+@query("ing1_ingest", f"""{PLACED} SELECT a.source_alert_id, {ACTION} AS action, CASE WHEN id IN (SELECT id FROM placed) THEN 'pending' ELSE 'incomplete' END AS status FROM advisories a""")
+def _(spark, d):
+    out = two_deliveries(spark, d)
+    ids = out["alerts"].select(F.col("id").alias("alert_id"), "source_alert_id", "status")
+    return out["actions"].join(ids, "alert_id").select("source_alert_id", "action", "status")
+
+
+@query("ing2_children", f"""{PLACED} SELECT a.source_alert_id, g.location_id FROM placed p JOIN advisories a ON a.id = p.id JOIN gazetteer g ON g.numeric_id = p.numeric_id""")
+def _(spark, d):
+    out = two_deliveries(spark, d)
+    ids = out["alerts"].select(F.col("id").alias("alert_id"), "source_alert_id")
+    return out["locations"].join(ids, "alert_id").select("source_alert_id", "location_id")
+
+
+@query("ing3_stats", f"""{PLACED} SELECT count(*) FILTER (action = 'created') AS created, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'ignored') AS ignored,
+count(*) FILTER (id NOT IN (SELECT id FROM placed)) AS incomplete, 0 AS rejected FROM (SELECT id, {ACTION} AS action FROM advisories) a""")
+def _(spark, d):
+    return two_deliveries(spark, d)["stats"]
+
+
+@query("i6_backfill", f"""{PLACED} SELECT a.source_alert_id, g.location_id FROM placed p JOIN advisories a ON a.id = p.id JOIN gazetteer g ON g.numeric_id = p.numeric_id""")
+def _(spark, d):
+    """Every third resolution is stale and its alert's locations are cut down to the structured one; the backfill finds the rest again."""
+    made = ING.ingest(spark.sql(DELIVERY.format(seq="id", text="description"), advisories=advisories(spark, d)), ING.empty_store(spark), index(spark, d))
+    held = {n: write_and_read(made[n], f"stored-{n}") for n in ING.STORE}
+    stale = F.pmod("alert_id", F.lit(3)) == 0
+    held["resolutions"] = held["resolutions"].withColumn("cache_key", F.when(stale, "old").otherwise(F.col("cache_key")))
+    held["locations"] = held["locations"].filter(~stale | (F.col("text_source") == "STRUCTURED_SCRAPER_FIELD"))
+    ids = held["alerts"].select(F.col("id").alias("alert_id"), "source_alert_id")
+    return ING.backfill(held, index(spark, d))["locations"].join(ids, "alert_id").select("source_alert_id", "location_id")

@@ -242,14 +242,16 @@ def not_public(v: str) -> str:
 
 
 GEOIP = f"""SELECT event_id, CASE WHEN found THEN city ELSE 'Pakistan Centre' END AS city, CASE WHEN found THEN lat ELSE 30.3753::DOUBLE END AS lat,
-CASE WHEN found THEN lng ELSE 69.3451::DOUBLE END AS lng, NOT found AS is_fallback, CASE WHEN {not_public('v')} THEN 'private_ip_fallback' WHEN NOT found THEN 'geoip_not_found_fallback' ELSE 'ip' END AS detection_method
-FROM (SELECT a.event_id, a.v, r.city, r.lat, r.lng, NOT {not_public('a.v')} AND {O.world('r.lat', 'r.lng')} AS found
-FROM access_log a LEFT JOIN ip_ranges r ON a.v BETWEEN r.ip_start AND r.ip_end) z"""
+CASE WHEN found THEN lng ELSE 69.3451::DOUBLE END AS lng, NOT found AS is_fallback, CASE WHEN v IS NULL THEN CASE WHEN bad THEN 'invalid_ip_fallback' ELSE 'default' END
+WHEN {not_public('v')} THEN CASE WHEN dev THEN 'local_development' ELSE 'private_ip_fallback' END WHEN NOT found THEN 'geoip_not_found_fallback' WHEN dev THEN 'local_development' ELSE 'ip' END AS detection_method
+FROM (SELECT a.event_id, a.v, a.bad, a.dev, r.city, r.lat, r.lng, coalesce(NOT {not_public('a.v')}, false) AND {O.world('r.lat', 'r.lng')} AS found
+FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE v END AS v, event_id % 22 = 0 AS bad, event_id % 7 = 0 AS dev FROM access_log) a LEFT JOIN ip_ranges r ON a.v BETWEEN r.ip_start AND r.ip_end) z"""
 
 
 @query("j14_geoip_join", GEOIP)
 def _(spark, d):
-    log = view(spark, d, "access_log").selectExpr("event_id", "v AS address", "false AS invalid_input", "false AS is_local_development")
+    log = view(spark, d, "access_log").selectExpr(
+        "event_id", "CASE WHEN event_id % 11 = 0 THEN NULL ELSE v END AS address", "event_id % 22 = 0 AS invalid_input", "event_id % 7 = 0 AS is_local_development")
     return J.geoip_join(log, view(spark, d, "ip_ranges")).select("event_id", "city", "lat", "lng", "is_fallback", "detection_method")
 
 
@@ -404,13 +406,20 @@ def _(spark, d):
     return A.location_groups(view(spark, d, "alert_locations")).select("alert_id", "type", "name", "type_order")
 
 
-@query("a12_tile_clusters", f"""SELECT floor((longitude + 180.0) / 360.0 * 16384.0 / 45) AS cell_x,
-floor((0.5 - ln((1 + sin(radians(latitude))) / (1 - sin(radians(latitude)))) / (4 * pi())) * 16384.0 / 45) AS cell_y, count(*) AS point_count,
+TILE_CELLS = """floor((longitude + 180.0) / 360.0 * {size} / 45) AS cell_x,
+floor((0.5 - ln((1 + sin(radians(latitude))) / (1 - sin(radians(latitude)))) / (4 * pi())) * {size} / 45) AS cell_y"""
+TILES = " UNION ALL ".join(f"""SELECT {zoom} AS zoom, {TILE_CELLS.format(size=256.0 * 2**zoom)}, count(*) AS point_count,
 CASE WHEN count(*) < 5 THEN 'small' WHEN count(*) < 15 THEN 'medium' ELSE 'large' END AS size_class
-FROM alert_locations WHERE {O.country('latitude', 'longitude')} GROUP BY 1, 2""")
+FROM alert_locations WHERE {O.country('latitude', 'longitude')} GROUP BY 1, 2, 3""" for zoom in (6, 10))
+POINTS = f"SELECT 11 AS zoom, {TILE_CELLS.format(size=256.0 * 2**11)}, 1 AS point_count, 'small' AS size_class FROM alert_locations WHERE {O.country('latitude', 'longitude')}"
+
+
+@query("a12_tile_clusters", f"{TILES} UNION ALL {POINTS}")
 def _(spark, d):
-    return A.tile_clusters(view(spark, d, "alert_locations"), zoom=6).select(
-        F.col("cell_x").cast("double").alias("cell_x"), F.col("cell_y").cast("double").alias("cell_y"), "point_count", "size_class")
+    """Both sides of the zoom above which nothing is clustered."""
+    at = lambda zoom: A.tile_clusters(view(spark, d, "alert_locations"), zoom).select(
+        F.lit(zoom).alias("zoom"), F.col("cell_x").cast("double").alias("cell_x"), F.col("cell_y").cast("double").alias("cell_y"), "point_count", "size_class")
+    return at(6).unionByName(at(10)).unionByName(at(11))
 
 
 @query("a13_children_by_parent", """SELECT 'province_district' AS kind, province_id AS parent_id, numeric_id AS child_id FROM gazetteer WHERE entity_type = 'DISTRICT' AND province_id IS NOT NULL
@@ -487,9 +496,19 @@ def _(spark, d):
     return view(spark, d, "alerts").select("id", text.wrap(F.col("description")).alias("wrapped"))
 
 
-@query("x9_wrap_long", None)
+# A wrap is right if it keeps every visible character, no line is too long, and no line could take the next one's first word.
+@query("x9_wrap_long", """SELECT doc_id, md5(CASE WHEN visible = '' THEN 'N/A' ELSE visible END) AS visible, true AS short, true AS filled FROM (
+SELECT doc_id, regexp_replace(plain, '[\\s\\x0b\\x1c-\\x1f]+', '', 'g') AS visible FROM (SELECT doc_id, regexp_replace(strip_accents(replace(replace(replace(replace(replace(replace(replace(replace(text,
+'“', '"'), '”', '"'), '‘', ''''), '’', ''''), '—', '-'), '–', '-'), '°', ' deg '), '…', '...')), '[^\\x00-\\x7F]', '', 'g') AS plain FROM documents) p) q""")
 def _(spark, d):
-    return view(spark, d, "documents").select("doc_id", text.wrap(F.col("text")).alias("wrapped"))
+    wrapped = view(spark, d, "documents").select("doc_id", text.wrap(F.col("text")).alias("w"))
+    lines = wrapped.withColumn("paragraphs", F.transform(F.split("w", "\n\n"), lambda p: F.split(p, "\n")))
+    room = lambda p: F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.coalesce(
+        F.length(a) + 1 + F.length(F.get(F.split(b, " "), F.lit(0))) <= 78, F.lit(False)))
+    return lines.select(
+        "doc_id", F.md5(F.regexp_replace("w", r"[\s\x0b\x1c-\x1f]+", "")).alias("visible"),
+        F.forall(F.flatten("paragraphs"), lambda x: F.length(x) <= 78).alias("short"),
+        (~F.exists("paragraphs", lambda p: F.exists(room(p), lambda x: x))).alias("filled"))
 
 
 X10_CTX = "title || chr(10) || CASE id % 3 WHEN 0 THEN '1. Leave the river bank' || chr(10) || '2) Call for help' WHEN 1 THEN '1. Short one' ELSE '' END"

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from alertloom import constants as K
 from alertloom.functions import hashing, text, timeops
 from alertloom.operators import aggregates as A, identity as I, quality as Q
-from alertloom.operators.chunked import number_rows
+from alertloom.operators.chunked import number_rows, time_chunks
 from alertloom.plans import oracle_sql as O
 from alertloom.plans.reads import text_times
 from alertloom.plans.registry import query
 from alertloom.sources.views import view
 
-def day():
-    return F.to_date("received_at")
+CHUNK = 5_000  # rows of a chunk, small enough for the checks to cross chunk borders
 
 
 # ---- validation -----------------------------------------------------------------
@@ -37,7 +36,7 @@ BAD = """SELECT numeric_id AS id, numeric_id AS pos, CASE WHEN numeric_id % 13 =
 CASE WHEN numeric_id % 17 = 3 THEN '' ELSE lower(canonical_name) END AS normalized_name, latitude, CASE WHEN numeric_id % 7 = 2 THEN NULL WHEN numeric_id % 11 = 5 THEN 200 ELSE longitude END AS longitude,
 CASE WHEN numeric_id % 5 = 1 THEN 0 - population ELSE population END AS population, province_id, division_id, CASE WHEN numeric_id % 19 = 7 THEN NULL ELSE district_id END AS district_id, tehsil_id,
 CASE WHEN numeric_id % 23 = 6 THEN 999999999 WHEN numeric_id % 29 = 8 THEN numeric_id + 1 WHEN numeric_id % 29 = 9 THEN numeric_id - 1 WHEN numeric_id % 29 = 10 THEN numeric_id - 2 ELSE parent_id END AS parent_id, CAST(NULL AS STRING) AS hierarchy_exception
-FROM gazetteer WHERE entity_type <> 'VILLAGE' UNION ALL SELECT numeric_id, numeric_id + 5000000, entity_type, canonical_name, 'twin', latitude, longitude, population, province_id, division_id, district_id, tehsil_id, parent_id, 'x' FROM gazetteer WHERE numeric_id % 3 = 0 AND entity_type = 'DISTRICT'"""
+FROM gazetteer UNION ALL SELECT numeric_id, numeric_id + 5000000, entity_type, canonical_name, 'twin', latitude, longitude, population, province_id, division_id, district_id, tehsil_id, parent_id, 'x' FROM gazetteer WHERE numeric_id % 3 = 0 AND entity_type = 'DISTRICT'"""
 
 V2_SQL = f"""WITH RECURSIVE r AS ({BAD}), k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1),
 walk(id, here, depth) AS (SELECT id, parent_id, 1 FROM k WHERE parent_id IS NOT NULL UNION ALL SELECT walk.id, k.parent_id, depth + 1 FROM walk JOIN k ON k.id = walk.here WHERE k.parent_id IS NOT NULL AND depth < 40)
@@ -135,14 +134,17 @@ CHAIN = """SELECT *, lag(content_hash) OVER (PARTITION BY source_alert_id ORDER
 
 @query("w7_revision_chain", f"SELECT seq, previous_hash, CASE WHEN previous_hash IS NULL THEN 'created' WHEN previous_hash = content_hash THEN 'ignored' ELSE 'updated' END AS action FROM ({CHAIN}) c")
 def _(spark, d):
-    return I.revision_chain(view(spark, d, "alert_versions"), ["source_alert_id"], ["received_at", "seq"], day()).select("seq", "previous_hash", "action")
+    versions = view(spark, d, "alert_versions")
+    chunk = time_chunks(versions, "received_at", CHUNK)
+    return I.revision_chain(versions, ["source_alert_id"], ["received_at", "seq"], chunk).select("seq", "previous_hash", "action")
 
 
 @query("w8_consecutive_failures", """SELECT event_id, CAST(CASE WHEN ok THEN 0 ELSE row_number() OVER (PARTITION BY source_id, island ORDER BY checked_at, event_id) - CASE WHEN island > 0 THEN 1 ELSE 0 END END AS BIGINT) AS consecutive_failures,
 CASE WHEN NOT ok AND row_number() OVER (PARTITION BY source_id, island ORDER BY checked_at, event_id) - CASE WHEN island > 0 THEN 1 ELSE 0 END >= 3 THEN 'unhealthy' ELSE 'healthy' END AS health_status
 FROM (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY checked_at, event_id) AS island FROM poll_log) p""")
 def _(spark, d):
-    return Q.consecutive_failures(view(spark, d, "poll_log"), F.to_date("checked_at")).select("event_id", "consecutive_failures", "health_status")
+    polls = view(spark, d, "poll_log")
+    return Q.consecutive_failures(polls, time_chunks(polls, "checked_at", CHUNK)).select("event_id", "consecutive_failures", "health_status")
 
 
 @query("w8_source_health", f"""SELECT p.source_id, count(*) FILTER (NOT ok AND (g.last_success_at IS NULL OR checked_at > g.last_success_at)) AS consecutive_failures, {O.ts('max(checked_at)')} AS last_checked_at,
@@ -156,7 +158,8 @@ REVISED = f"SELECT source_alert_id AS alert_id, seq, received_at AS created_at,
 
 @query("w9_latest_revision", f"SELECT alert_id, arg_max(seq, created_at) AS seq, arg_max(content_hash, created_at) AS content_hash FROM ({REVISED}) r GROUP BY alert_id")
 def _(spark, d):
-    chain = I.revision_chain(view(spark, d, "alert_versions"), ["source_alert_id"], ["received_at", "seq"], day())
+    versions = view(spark, d, "alert_versions")
+    chain = I.revision_chain(versions, ["source_alert_id"], ["received_at", "seq"], time_chunks(versions, "received_at", CHUNK))
     revs = chain.filter("action = 'updated'").selectExpr("source_alert_id AS alert_id", "seq", "received_at AS created_at", "content_hash")
     return I.latest_revision(revs).select("alert_id", "seq", "content_hash")
 
@@ -189,7 +192,7 @@ CLASSIFIED = f"""SELECT *, CASE WHEN prev_hash IS NULL THEN 'created' WHEN prev_
 prev_hash IS NOT NULL AND prev_hash <> content_hash AS revised, first_value(CASE WHEN seq < 0 THEN sid ELSE new_id END) OVER (PARTITION BY source_alert_id ORDER BY seq) AS alert_id,
 last_value(CASE WHEN prev_hash IS NULL OR prev_hash <> content_hash THEN [description, normalized_severity] END IGNORE NULLS) OVER (PARTITION BY source_alert_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM (
 SELECT *, lag(content_hash) OVER w AS prev_hash, lag(structured_advisory) OVER w AS prev_sa FROM (
-SELECT seq, source_alert_id, content_hash, structured_advisory, description, normalized_severity, CAST(NULL AS BIGINT) AS sid, (SELECT coalesce(max(id), 0) + 1 FROM ({STORED}) m) + seq AS new_id FROM ({BATCH}) b
+SELECT seq, source_alert_id, content_hash, structured_advisory, description, normalized_severity, CAST(NULL AS BIGINT) AS sid, CAST('0x' || substr(md5('id' || chr(1) || source_id || chr(1) || source_alert_id), 1, 15) AS BIGINT) AS new_id FROM ({BATCH}) b
 UNION ALL SELECT -1, source_alert_id, content_hash, structured_advisory, description, normalized_severity, id, NULL FROM ({STORED}) s) u WINDOW w AS (PARTITION BY source_alert_id ORDER BY seq)) t"""
 CHANGED = """'["' || array_to_string(CASE WHEN len(f) = 0 THEN ['locations_or_minor'] ELSE f END, '", "') || '"]'"""
 

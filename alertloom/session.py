@@ -1,4 +1,4 @@
-"""Session settings and the shared work folder."""
+"""The shared work folder, and spreading small scans."""
 
 from __future__ import annotations
 
@@ -6,28 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-
-def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with the settings the jobs are written for.
-
-    On a cluster leave both arguments out: the master comes from spark-submit
-    and AQE coalesces the default shuffle partitions.
-    """
-    builder = (
-        SparkSession.builder.appName("alertloom")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-    )
-    if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,21 +38,6 @@ def write_and_read(df: DataFrame, label: str, partition_by: list[str] | None = N
     return df.sparkSession.read.parquet(path)
 
 
-BROADCAST_ROWS = 2_000_000
-BROADCAST_BYTES = 256 * 1024 * 1024
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, row_bytes: int = 120) -> DataFrame:
-    """Hint a broadcast only after counting the side; otherwise leave the join
-    to the planner (shuffle join, AQE skew splitting).
-
-    The count stops at the bound, so checking an over-large side stays cheap.
-    """
-    bound = min(max_rows, BROADCAST_BYTES // row_bytes)
-    seen = df.select(F.lit(1).alias("one")).limit(bound + 1).count()
-    return F.broadcast(df) if seen <= bound else df
-
-
 def spread(scan: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy row work on a scan of few small files.
 

@@ -98,9 +98,9 @@ def quake_to_alerts(rows: DataFrame) -> DataFrame:
         F.col("region").alias("raw_location"), "latitude", "longitude", F.lit("manual").alias("match_confidence"))
 
 
-def extract_links(docs: DataFrame, base: str, suffixes: list[str], tag: str = "a", attribute: str = "href", n: int = 5,
+def extract_links(docs: DataFrame, base: str, suffixes: list[str], tag: str = "a", attribute: str = "href", n: int | None = None,
                   host: str | None = None, content: str = "html") -> DataFrame:
-    """First ``n`` distinct document links of a page, in page order, absolute."""
+    """Distinct document links of a page, in page order, absolute; ``n`` keeps the first so many."""
     attr = rf"(?is)<{tag}\b[^>]*?\s{attribute}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
     raw = F.regexp_extract_all(_visible(F.col(content)), F.lit(attr), F.lit(1))
     links = F.transform(raw, lambda u: _unescape(F.regexp_replace(u, "^[\"']|[\"']$", "")))
@@ -114,15 +114,17 @@ def extract_links(docs: DataFrame, base: str, suffixes: list[str], tag: str = "a
         return (
             F.when(u.startswith("http"), u).when(u.startswith("//"), F.concat(F.lit(base), F.substr(u, F.lit(2))))
             .when(u.startswith("/"), F.concat(F.lit(base), u)).otherwise(F.concat(F.lit(base + "/"), u)))
-    urls = F.slice(F.array_distinct(F.transform(F.filter(links, keep), absolute)), 1, n)
+    urls = F.array_distinct(F.transform(F.filter(links, keep), absolute))
+    urls = urls if n is None else F.slice(urls, 1, n)
     return docs.select(*[c for c in docs.columns if c != content], F.posexplode(urls).alias("link_no", "link"))
 
 
-def _summary(c: str) -> Column:
-    return F.concat(F.substring(c, 1, 2000), F.when(F.length(c) > 2000, "...").otherwise(""))
+def _summary(c: str, chars: int = K.DESCRIPTION_CHARS) -> Column:
+    """The start of a text with a mark if more follows; the whole text stays in ``raw_text``."""
+    return F.concat(F.substring(c, 1, chars), F.when(F.length(c) > chars, "...").otherwise(""))
 
 
-def clean_bulletin_text(docs: DataFrame, content: str = "text") -> DataFrame:
+def clean_bulletin_text(docs: DataFrame, content: str = "text", description_chars: int = K.DESCRIPTION_CHARS) -> DataFrame:
     """Extracted bulletin text (url, retrieved_at, text) to title, id, text."""
     t = F.regexp_replace(F.col(content), r"\r\n?", "\n")
     for pattern, new in ((r"(?U)(?<=\w)-\n(?=\w)", ""), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"(?U)^\s+|\s+$", "")):
@@ -135,7 +137,7 @@ def clean_bulletin_text(docs: DataFrame, content: str = "text") -> DataFrame:
     rows = rows.withColumn("title", title)
     return rows.withColumns({
         "source_alert_id": F.concat_ws("-", F.lit("FFD"), F.replace("title", F.lit(" "), F.lit("")), F.date_format("retrieved_at", "yyyy-MM-dd")),
-        "description": _summary("raw_text"), "hazard_type": F.lit("flood"), "raw_location": F.lit("Pakistan"),
+        "description": _summary("raw_text", description_chars), "hazard_type": F.lit("flood"), "raw_location": F.lit("Pakistan"),
     })
 
 
@@ -146,7 +148,7 @@ def bulletin_to_alerts(cleaned: DataFrame) -> DataFrame:
         "issued_at": F.col("retrieved_at"), "status": F.lit("active"), "source_url": F.col("url")})
 
 
-def advisory_text_to_alerts(docs: DataFrame, content: str = "text") -> DataFrame:
+def advisory_text_to_alerts(docs: DataFrame, content: str = "text", description_chars: int = K.DESCRIPTION_CHARS) -> DataFrame:
     """Advisory text (url, retrieved_at, text): later hazard words win."""
     rows = docs.withColumn("raw_text", F.trim(F.regexp_replace(content, r"(?U)\s+", " ")))
     up = F.upper("raw_text")
@@ -160,7 +162,7 @@ def advisory_text_to_alerts(docs: DataFrame, content: str = "text") -> DataFrame
     return rows.withColumns({
         "source_alert_id": F.concat(F.lit("NDMA-"), file_name),
         "title": F.concat(F.lit("NDMA "), F.initcap("hazard_type"), F.lit(" Advisory")),
-        "description": _summary("raw_text"), "issued_at": F.col("retrieved_at"), "status": F.lit("active"),
+        "description": _summary("raw_text", description_chars), "issued_at": F.col("retrieved_at"), "status": F.lit("active"),
         "raw_location": F.lit("Pakistan")})
 
 
@@ -181,7 +183,8 @@ def run_feed(name: str, docs: DataFrame) -> DataFrame:
 register_feed("PMDEarthquakeScraper", read_quake_table, quake_to_alerts)
 register_feed("FFDBulletinScraper", clean_bulletin_text, bulletin_to_alerts)
 register_feed("NDMAScraper", advisory_text_to_alerts)
-register_feed("PMDWeatherScraper", read_cap)
+register_feed("PMDWeatherScraper", read_cap, lambda items: cap_to_alerts(
+    items, F.col("retrieved_at") if "retrieved_at" in items.columns else F.current_timestamp())[0])
 
 
 # ---- sources ------------------------------------------------------------------------

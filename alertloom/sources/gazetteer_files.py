@@ -8,8 +8,12 @@ from alertloom import constants as K
 from alertloom.functions import geo, text
 
 
-def read_geonames(spark: SparkSession, path: str, country: str = "PK") -> DataFrame:
-    """Tab-separated dump lines with 19 or more columns to typed records."""
+def read_geonames(spark: SparkSession, path: str, country: str = "PK", alias_chars: int | None = None, aliases: int | None = None) -> DataFrame:
+    """Tab-separated dump lines with 19 or more columns to typed records.
+
+    ``alias_chars`` leaves out longer alternate names, ``aliases`` keeps so
+    many of a record; both are off by default.
+    """
     cols = F.split("value", "\t")
     lines = spark.read.text(path).withColumn("c", cols).filter(F.size("c") >= 19)
     at = lambda i: F.get(F.col("c"), i)
@@ -32,7 +36,7 @@ def read_geonames(spark: SparkSession, path: str, country: str = "PK") -> DataFr
     own = F.array_compact(F.array(
         F.when(other("original_name", "canonical_name"), F.col("original_name")),
         F.when((F.col("ascii_name") != "") & other("ascii_name", "canonical_name") & other("ascii_name", "original_name"), F.col("ascii_name"))))
-    more = F.filter(F.split("alternates", ","), lambda a: (a != "") & (F.length(a) <= 120))
+    more = F.filter(F.split("alternates", ","), lambda a: (a != "") & (F.length(a) <= (alias_chars or 2**31 - 1)))
     box = K.GAZETTEER_BOX
     inside = F.col("lat").between(box[0], box[1]) & F.col("lng").between(box[2], box[3])
     bad = F.col("lat").isNotNull() & ~F.coalesce(inside, F.lit(False))
@@ -40,7 +44,7 @@ def read_geonames(spark: SparkSession, path: str, country: str = "PK") -> DataFr
         F.concat(F.lit("geonames_"), F.col("geonames_id").cast("string")).alias("id"), "geonames_id", "canonical_name",
         text.location_name(F.col("canonical_name")).alias("normalized_name"), "entity_type",
         F.when(~bad, F.col("lat")).alias("latitude"), F.when(~bad, F.col("lng")).alias("longitude"),
-        F.slice(F.concat(own, more), 1, 12).alias("aliases"), F.when(F.col("population") != 0, F.col("population")).alias("population"),
+        (F.slice(F.concat(own, more), 1, aliases) if aliases else F.concat(own, more)).alias("aliases"), F.when(F.col("population") != 0, F.col("population")).alias("population"),
         "a1", "a2", "a3", "a4", "feature_code",
         F.when(bad, "coordinate failed the plausibility check").alias("review_notes"))
 

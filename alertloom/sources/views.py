@@ -243,7 +243,7 @@ FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM {q.table('n
 def _viewers(q) -> str:
     return f"""
 SELECT c_custkey AS viewer_id, 23 + (c_custkey * 7919 % 15000) / 1e3 AS lat, 60 + (c_custkey * 104729 % 18500) / 1e3 AS lng
-FROM {q.table('customer')} WHERE c_custkey % 50 = 0"""
+FROM {q.table('customer')}"""
 
 
 def _source_status(q) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from alertloom import constants as K
 from alertloom.functions import timeops
-from alertloom.operators import aggregates as A, identity as I
+from alertloom.operators import aggregates as A, identity as I, ingest as G, quality as Q
 from alertloom.operators.reports import change_feed
 from alertloom.session import new_folder
 
@@ -46,33 +46,74 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], mod
 
 
 class SnapshotStore:
-    """Numbered table versions below a folder; version = batch id + 1."""
+    """Numbered table versions below a folder; version = batch id + 1.
+
+    What is there decides: version 0 is written only into an empty folder, and
+    a restarted job goes on from the last finished version. A batch reads
+    version ``batch_id`` and writes the next one, so a replayed batch repeats
+    its own output; older versions are deleted.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, initial: DataFrame):
         self.spark, self.folder, self.schema = spark, folder, initial.schema
-        initial.write.mode("overwrite").parquet(self._path(0))
+        if self.last() is None:
+            initial.write.mode("overwrite").parquet(self._path(0))
 
     def _path(self, version: int) -> str:
         return f"{self.folder}/version-{version:012d}"
 
+    def _hadoop(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
+
+    def versions(self) -> list[int]:
+        """Finished versions, oldest first."""
+        files, folder = self._hadoop(self.folder)
+        if not files.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(folder)]
+        numbers = sorted(int(n.rpartition("-")[2]) for n in names if n.startswith("version-"))
+        return [n for n in numbers if files.exists(self._hadoop(f"{self._path(n)}/_SUCCESS")[1])]
+
+    def last(self) -> int | None:
+        return max(self.versions(), default=None)
+
     def before(self, batch_id: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self._path(batch_id))
 
     def write(self, batch_id: int, df: DataFrame) -> None:
         df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._path(batch_id + 1))
+        for old in self.versions():
+            if old < batch_id:
+                files, path = self._hadoop(self._path(old))
+                files.delete(path, True)
 
     def after(self, batch_id: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self._path(batch_id + 1))
 
+    def newest(self) -> DataFrame:
+        return self.after(self.last() - 1)
+
 
 class UpsertJob:
-    """Versioned upsert per micro-batch: snapshot, actions, revisions, changes."""
+    """Versioned upsert per micro-batch: snapshot, actions, revisions, changes.
+
+    A second job on the same folder continues the first: snapshots, tables and
+    the stream's own checkpoint all lie below it.
+    """
 
     def __init__(self, spark: SparkSession, initial: DataFrame, folder: str | None = None):
         self.spark = spark
         self.folder = folder or new_folder(spark, "upsert")
         self.store = SnapshotStore(spark, f"{self.folder}/alerts", initial)
-        self.last_batch = -1
+
+    @property
+    def checkpoint(self) -> str:
+        return f"{self.folder}/checkpoint"
+
+    @property
+    def last_batch(self) -> int:
+        return self.store.last() - 1
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         current = self.store.before(batch_id)
@@ -82,73 +123,85 @@ class UpsertJob:
         marks = f"{self.folder}/actions/batch={batch_id}"
         I.classify(batch, current).write.mode("overwrite").parquet(marks)
         classified = self.spark.read.parquet(marks)
-        self.store.write(batch_id, I.apply_upsert(current, batch, classified))
         I.revisions(classified).write.mode("overwrite").parquet(f"{self.folder}/revisions/batch={batch_id}")
         change_feed(classified, batch).write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch_id}")
-        self.last_batch = batch_id
+        self.store.write(batch_id, I.apply_upsert(current, batch, classified))  # last: a finished version is a finished batch
 
     def table(self, name: str) -> DataFrame:
         """actions, revisions or changes over all batches."""
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def snapshot(self) -> DataFrame:
-        return self.store.after(self.last_batch)
+        return self.store.newest()
 
 
 def stream_upsert(stream: DataFrame, initial: DataFrame, folder: str | None = None) -> UpsertJob:
     job = UpsertJob(stream.sparkSession, initial, folder)
-    run_available(stream, job)
+    run_available(stream, job, checkpoint=job.checkpoint)
     return job
 
 
-def window_counts(alerts: DataFrame, as_of, time: str = "issued_at", days: int = K.WINDOW_DAYS, slide_days: int = 1) -> DataFrame:
-    """Alerts per hazard in rolling windows; times more than 15 minutes ahead
-    of ``as_of`` are dropped, late ones are kept (the watermark spans a window)."""
+DAYS = "day timestamp, hazard_type string, n bigint"
+
+
+def day_counts(alerts: DataFrame, as_of, time: str = "issued_at", lateness: str = f"{K.WINDOW_DAYS} days") -> DataFrame:
+    """Alerts per day and hazard; times more than 15 minutes ahead of ``as_of``
+    are dropped. The state of a day goes once the watermark has passed it, and
+    rows later than that are lost, as with any watermark."""
     limit = timeops.as_of_column(as_of) + F.expr(f"INTERVAL {K.SKEW_MINUTES} MINUTES")
     return (
-        alerts.filter(F.col(time) <= limit).withWatermark(time, f"{days} days")
-        .groupBy(F.window(time, f"{days} days", f"{slide_days} days").alias("w"), "hazard_type").agg(F.count("*").alias("n")))
+        alerts.filter(F.col(time) <= limit).withWatermark(time, lateness)
+        .groupBy(F.window(time, "1 day").alias("w"), "hazard_type").agg(F.count("*").alias("n"))
+        .select(F.col("w.start").alias("day"), "hazard_type", "n"))
+
+
+def windows_of_days(days: DataFrame, width: int = K.WINDOW_DAYS) -> DataFrame:
+    """Rolling windows of ``width`` days, one starting every day, from day counts."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("back")
+    rows = days.select("day", "hazard_type", "n", back).withColumn("start", F.col("day") - F.make_dt_interval(F.col("back")))
+    return rows.groupBy("start", (F.col("start") + F.make_dt_interval(F.lit(width))).alias("end"), "hazard_type").agg(F.sum("n").alias("n"))
 
 
-def stream_window_counts(alerts: DataFrame, as_of, time: str = "issued_at", days: int = K.WINDOW_DAYS) -> DataFrame:
-    """Run to the end of the landed data; returns the final counts."""
-    spark, folder = alerts.sparkSession, new_folder(alerts.sparkSession, "window-counts")
-    run_available(window_counts(alerts, as_of, time, days), lambda df, _i: df.write.mode("overwrite").parquet(folder), mode="complete")
-    return spark.read.parquet(folder).select("w.start", "w.end", "hazard_type", "n")
+def stream_window_counts(alerts: DataFrame, as_of, time: str = "issued_at", days: int = K.WINDOW_DAYS, folder: str | None = None) -> DataFrame:
+    """Run to the end of the landed data; returns the final counts.
+
+    Each trigger hands over only the days that changed (update mode); they
+    replace their rows in the table of days.
+    """
+    spark = alerts.sparkSession
+    folder = folder or new_folder(spark, "window-counts")
+    store = SnapshotStore(spark, f"{folder}/days", spark.createDataFrame([], DAYS))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        old, new = store.before(batch_id).alias("old"), batch.alias("new")
+        same = (F.col("old.day") == F.col("new.day")) & F.col("old.hazard_type").eqNullSafe(F.col("new.hazard_type"))
+        store.write(batch_id, old.join(new, same, "left_anti").unionByName(batch))
+
+    run_available(day_counts(alerts, as_of, time, f"{days} days"), each, "update", f"{folder}/checkpoint")
+    return windows_of_days(store.newest(), days)
 
 
-HEALTH = "source_id bigint, consecutive_failures bigint, last_checked_at timestamp, last_success_at timestamp, health_status string"
+POLLS = "source_id bigint, checked_at timestamp, event_id bigint, ok boolean"
 
 
-def merge_health(state: DataFrame, polls: DataFrame) -> DataFrame:
-    """New state from the old one and a batch of polls. The batch shrinks to
-    one row per source by partial aggregation before it meets the state."""
+def open_polls(held: DataFrame, polls: DataFrame) -> DataFrame:
+    """The polls that still decide a source's health: its last success and every
+    failure after it, by time of the poll and not of its arrival. A late success
+    ends only the failures before it; a late failure from before the last
+    success changes nothing."""
+    both = held.unionByName(polls.select(*held.columns))
     at = F.struct("checked_at", "event_id")
-    good = polls.filter("ok").groupBy("source_id").agg(F.max(at).alias("good_at"), F.max("checked_at").alias("ok_at"))
-    tail = polls.join(good, "source_id", "left").groupBy("source_id").agg(
-        F.count_if(~F.col("ok") & (F.col("good_at").isNull() | (at > F.col("good_at")))).alias("fails"),
-        F.max("checked_at").alias("checked"), F.max("ok_at").alias("ok_at"))
-    both = state.join(tail, "source_id", "full")
-    fails = (
-        F.when(F.col("fails").isNull(), F.col("consecutive_failures")).when(F.col("ok_at").isNotNull(), F.col("fails"))
-        .otherwise(F.coalesce("consecutive_failures", F.lit(0)) + F.col("fails")))
-    return both.select(
-        "source_id", fails.cast("bigint").alias("consecutive_failures"), F.greatest("last_checked_at", "checked").alias("last_checked_at"),
-        F.coalesce("ok_at", "last_success_at").alias("last_success_at"),
-        F.when(fails >= K.UNHEALTHY_AFTER, "unhealthy").otherwise("healthy").alias("health_status"))
-
-
-def stream_health(polls: DataFrame) -> DataFrame:
-    spark = polls.sparkSession
-    store = SnapshotStore(spark, new_folder(spark, "health"), spark.createDataFrame([], HEALTH))
-    seen = {"last": -1}
+    good = both.filter("ok").groupBy("source_id").agg(F.max(at).alias("good_at"))
+    return both.join(good, "source_id", "left").filter(F.col("good_at").isNull() | (at >= F.col("good_at"))).select(*held.columns)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        store.write(batch_id, merge_health(store.before(batch_id), batch))
-        seen["last"] = batch_id
 
-    run_available(polls, each)
-    return store.after(seen["last"])
+def stream_health(polls: DataFrame, folder: str | None = None) -> DataFrame:
+    """Health per source after all landed polls, in whatever order they came."""
+    spark = polls.sparkSession
+    folder = folder or new_folder(spark, "health")
+    store = SnapshotStore(spark, f"{folder}/polls", spark.createDataFrame([], POLLS))
+    run_available(polls, lambda batch, i: store.write(i, open_polls(store.before(i), batch)), checkpoint=f"{folder}/checkpoint")
+    return Q.source_health(store.newest())
 
 
 def stream_summary(stream: DataFrame, initial: DataFrame, locations: DataFrame, sources: DataFrame) -> DataFrame:
@@ -163,5 +216,40 @@ def stream_summary(stream: DataFrame, initial: DataFrame, locations: DataFrame,
             now = now.withColumn("updated_at", F.lit(None).cast("timestamp"))
         A.summary_metrics(now, locations, sources).write.mode("overwrite").parquet(folder)
 
-    run_available(stream, each)
+    run_available(stream, each, checkpoint=job.checkpoint)
     return spark.read.parquet(folder)
+
+
+class IngestJob:
+    """The whole ingest per micro-batch, children and resolutions included.
+
+    The alerts table is written last: its last finished version says how far
+    the job came. A second job on the same folder continues the first.
+    """
+
+    def __init__(self, spark: SparkSession, ix, folder: str | None = None):
+        self.spark, self.ix = spark, ix
+        self.folder = folder or new_folder(spark, "ingest")
+        self.stores = {name: SnapshotStore(spark, f"{self.folder}/{name}", df) for name, df in G.empty_store(spark).items()}
+
+    @property
+    def checkpoint(self) -> str:
+        return f"{self.folder}/checkpoint"
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        staged = f"{self.folder}/staged/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(staged)
+        out = G.ingest(self.spark.read.parquet(staged), {n: s.before(batch_id) for n, s in self.stores.items()}, self.ix)
+        for name in ("actions", "revisions", "changes"):
+            out[name].write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
+        for name in G.STORE:
+            self.stores[name].write(batch_id, out[name])
+
+    def snapshot(self, name: str = "alerts") -> DataFrame:
+        return self.stores[name].after(self.stores["alerts"].last() - 1)
+
+
+def stream_ingest(stream: DataFrame, ix, folder: str | None = None) -> IngestJob:
+    job = IngestJob(stream.sparkSession, ix, folder)
+    run_available(stream, job, checkpoint=job.checkpoint)
+    return job

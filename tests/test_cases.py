@@ -6,13 +6,15 @@ import math
 import random
 import re
 import textwrap
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from alertloom import constants as K
+from alertloom import constants as K, session
 from alertloom.functions import geo, ip, text, timeops
-from alertloom.operators import bulletins as B, chunked, gazetteer as G, identity as I, joins as J, mentions as M, quality as Q, reports, resolve as R, topk as T
+from alertloom.operators import bulletins as B, chunked, gazetteer as G, identity as I, ingest as ING, joins as J, mentions as M, quality as Q, reports, resolve as R, topk as T
+from alertloom.sources import feeds
 from alertloom.streaming import jobs as ST
 
 
@@ -152,7 +154,7 @@ def test_row_without_id_matches_stored_alert_with_id(spark):
     stored = spark.createDataFrame([(7, 1, "a", "t", T0, "d", "low", None, "pending", "h1", "v1", None)], ALERT.replace("seq long", "id long"))
     batch = spark.createDataFrame([version(0, None, "d2", "low", "h2"), version(1, "zz", "d", "low", "h3")], ALERT)
     got = {r.seq: (r.action, r.alert_id) for r in I.classify(batch, stored).collect()}
-    assert got == {0: ("updated", 7), 1: ("created", 9)}
+    assert got[0] == ("updated", 7) and got[1][0] == "created" and got[1][1] > 7
 
 
 def test_streamed_upsert_equals_batch(spark, tmp_path):
@@ -161,11 +163,39 @@ def test_streamed_upsert_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, ALERT)
     for n in range(4):
         df.filter(f"seq >= {n * 20} AND seq < {n * 20 + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    whole = {r.seq: r.action for r in I.classify(df, empty(spark)).collect()}
+    whole = {r.seq: (r.action, r.alert_id) for r in I.classify(df, empty(spark)).collect()}
     stream = ST.stream_documents(spark, str(tmp_path / "in"), df.schema, max_files=1)
     job = ST.stream_upsert(stream, empty(spark))
-    assert {r.seq: r.action for r in job.table("actions").collect()} == whole
-    assert job.last_batch == 3
+    assert {r.seq: (r.action, r.alert_id) for r in job.table("actions").collect()} == whole
+    assert job.last_batch == 3 and job.store.versions() == [3, 4]
+
+
+def test_killed_upsert_goes_on(spark, tmp_path):
+    rows = [version(i, f"k{i % 3}", f"d{i % 2}", "low", f"h{i % 4}") for i in range(24)]
+    df = spark.createDataFrame(rows, ALERT)
+    land = lambda lo, hi: df.filter(f"seq >= {lo} AND seq < {hi}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: ST.stream_documents(spark, str(tmp_path / "in"), df.schema, max_files=1)
+    folder = str(tmp_path / "job")
+
+    class Killed(ST.UpsertJob):
+        def __call__(self, batch, batch_id):
+            super().__call__(batch, batch_id)
+            if batch_id == 1:
+                raise RuntimeError("killed after its output, before its commit")
+
+    land(0, 8)
+    land(8, 16)
+    broken = Killed(spark, empty(spark), folder)
+    with pytest.raises(Exception, match="killed"):
+        ST.run_available(stream(), broken, checkpoint=broken.checkpoint)
+    assert ST.UpsertJob(spark, empty(spark), folder).snapshot().count() == 3  # seen before the next batch
+    land(16, 24)
+    again = ST.stream_upsert(stream(), empty(spark), folder)
+    whole = I.classify(df, empty(spark))
+    seen = lambda t: sorted((r.seq, r.action, r.alert_id) for r in t.collect())
+    assert seen(again.table("actions")) == seen(whole)
+    key = lambda t: sorted((r.id, r.content_hash) for r in t.collect())
+    assert key(again.snapshot()) == key(I.apply_upsert(empty(spark), df, whole))
 
 
 # ---- gazetteer, mentions, resolver ----------------------------------------------------
@@ -283,15 +313,25 @@ def test_levels_come_from_conditions_not_from_the_scale(spark):
 def test_health_state_over_batches(spark):
     polls = [(1, i, ok) for i, ok in enumerate([True, False, False, False, True, False])]
     df = spark.createDataFrame([(s, T0 + dt.timedelta(hours=i), i, ok) for s, i, ok in polls], "source_id long, checked_at timestamp, event_id long, ok boolean")
-    state = spark.createDataFrame([], ST.HEALTH)
+    held = spark.createDataFrame([], ST.POLLS)
     seen = []
     for lo, hi in ((0, 3), (3, 4), (4, 6)):
-        state = ST.merge_health(state, df.filter(f"event_id >= {lo} AND event_id < {hi}"))
-        row = state.first()
+        held = ST.open_polls(held, df.filter(f"event_id >= {lo} AND event_id < {hi}"))
+        row = Q.source_health(held).first()
         seen.append((row.consecutive_failures, row.health_status))
     assert seen == [(2, "healthy"), (3, "unhealthy"), (1, "healthy")]
 
 
+def test_late_polls_do_not_clear_newer_failures(spark):
+    polls = lambda rows: spark.createDataFrame([(1, T0 + dt.timedelta(hours=h), h, ok) for h, ok in rows], ST.POLLS)
+    held = ST.open_polls(spark.createDataFrame([], ST.POLLS), polls([(10, False), (11, False), (12, False)]))
+    held = ST.open_polls(held, polls([(5, True), (4, False)]))  # both late
+    row = Q.source_health(held).first()
+    assert (row.consecutive_failures, row.health_status) == (3, "unhealthy")
+    held = ST.open_polls(held, polls([(11, True)]).withColumn("event_id", F.lit(100).cast("bigint")))
+    assert Q.source_health(held).first().consecutive_failures == 1
+
+
 def test_report_text_is_ascii_and_ordered(spark):
     alert = spark.createDataFrame([(5, 1, "S5", "Río “flood”", "Line one", "flood", None, "high", "active", T0, None, None, T0, None, "u", None, None, "hash")],
         "id long, source_id int, source_alert_id string, title string, description string, hazard_type string, official_severity string, normalized_severity string, "
@@ -310,3 +350,126 @@ def test_report_text_is_ascii_and_ordered(spark):
              "PROCESSING INFORMATION", "VALIDATION NOTES", "CHANGE HISTORY", "RAW EXTRACTED TEXT", "END OF ALERT RECORD"]
     at = [body.index(h) for h in heads]
     assert at == sorted(at)
+
+
+# ---- scale ------------------------------------------------------------------------------
+def timed(df):
+    started = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - started
+
+
+def test_scan_time_grows_with_the_text(spark, ix):
+    phrase = "heavy rain in Lahore and Kasur district with wind over the plain today "
+    text_of = lambda n: spark.createDataFrame([(1, phrase * (n // 13))], "id int, text string")
+    timed(M.scan(text_of(2_000), ix.words, ["id"]))
+    small, large = (min(timed(M.scan(text_of(n), ix.words, ["id"])) for _ in range(2)) for n in (20_000, 80_000))
+    assert large <= 5 * small + 1
+
+
+def test_span_folding_grows_with_the_spans(spark):
+    spans = lambda n: spark.range(n).selectExpr("1 AS id", "int(id * 5) AS start", "int(id * 5 + 7) AS end", "id % 7 AS numeric_id")
+    timed(M.remove_contained(spans(1_000), ["id"]))
+    small, large = (min(timed(M.remove_contained(spans(n), ["id"])) for _ in range(2)) for n in (8_000, 32_000))
+    assert large <= 5 * small + 1
+
+
+def test_scan_across_block_borders(spark, ix):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice(["khyber pakhtunkhwa", "Lahore", "x" * rng.randint(1, 60), "é-Kasur"]) for _ in range(400))) for i in range(6)]
+    got = {(r.id, r.start, r.matched_text) for r in M.scan(spark.createDataFrame(texts, "id int, text string"), ix.words, ["id"]).collect()}
+    want = set()
+    for i, t in texts:
+        low = re.sub(r"\s+", " ", t.casefold().replace("-", " ")).strip()
+        for p in ("khyber pakhtunkhwa", "lahore", "kasur"):
+            want |= {(i, m.start(), p) for m in re.finditer(rf"(?<!\w){p}(?!\w)", low)}
+    assert got == want
+
+
+def test_chunks_of_a_busy_source(spark):
+    rng = random.Random(3)
+    rows = [(1 if rng.random() < .9 else rng.randint(2, 5), T0 + dt.timedelta(seconds=rng.randrange(86_400)), i, rng.random() < .3) for i in range(2_000)]
+    polls = spark.createDataFrame(rows, "source_id long, checked_at timestamp, event_id long, ok boolean")
+    chunk = chunked.time_chunks(polls, "checked_at", 100)
+    assert polls.groupBy("source_id", chunk.alias("c")).count().agg({"count": "max"}).first()[0] <= 200
+    got = {r.event_id: r.consecutive_failures for r in Q.consecutive_failures(polls, chunk).collect()}
+    want, run = {}, {}
+    for source, at, event, ok in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        run[source] = 0 if ok else run.get(source, 0) + 1
+        want[event] = run[source]
+    assert got == want
+
+
+def test_no_machine_local_data_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session)
+
+
+# ---- ingest -----------------------------------------------------------------------------
+def arrival(seq, key, title="Flood in Lahore", description="Water rises near Pattoki.", **more):
+    row = dict(seq=seq, source_id=1, source_alert_id=key, title=title, description=description, hazard_type="weather", normalized_severity="unknown",
+               issued_at=T0, status="pending", source_url="u", raw_text="No more.", created_at=T0)
+    return {**row, **more}
+
+
+def incoming(spark, *rows):
+    return spark.createDataFrame([[r.get(f.split()[0]) for f in ING.INCOMING.split(", ")] for r in rows], ING.INCOMING)
+
+
+def test_ingest_stores_children_and_replaces_them(spark, ix):
+    first = ING.ingest(incoming(spark, arrival(1, "a"), arrival(2, "b", title="Note", description="Nothing named.")), ING.empty_store(spark), ix)
+    assert first["stats"].first().asDict() == {"created": 2, "updated": 0, "ignored": 0, "incomplete": 1, "rejected": 0}
+    ids = {r.source_alert_id: r.id for r in first["alerts"].collect()}
+    named = lambda out: {(r.alert_id, r.canonical_name, r.entity_type) for r in out["locations"].collect()}
+    assert {n for a, n, _ in named(first) if a == ids["a"]} >= {"Lahore", "Pattoki", "Kasur", "Punjab"} and not [1 for a, _, _ in named(first) if a == ids["b"]]
+    alert = {r.id: r for r in first["alerts"].collect()}[ids["a"]]
+    assert (alert.hazard_type, alert.status, alert.validation_errors) == ("flood", "pending", None)
+    resolution = {r.alert_id: r for r in first["resolutions"].collect()}[ids["a"]]
+    assert resolution.city == "Lahore" and resolution.cache_key == alert.cache_key and resolution.dataset_version == K.GAZETTEER_VERSION
+    second = ING.ingest(incoming(spark, arrival(3, "a", description="Water rises near Mingora."), arrival(4, "b", title=" note ", description="Nothing named!")),
+                        {n: first[n] for n in ING.STORE}, ix)
+    assert second["stats"].first().asDict() == {"created": 0, "updated": 1, "ignored": 1, "incomplete": 1, "rejected": 0}
+    assert {r.source_alert_id: r.id for r in second["alerts"].collect()} == ids
+    assert {n for a, n, _ in named(second) if a == ids["a"]} >= {"Lahore", "Mingora", "Swat"} and "Pattoki" not in {n for _, n, _ in named(second)}
+    assert second["revisions"].count() == 1 and second["changes"].count() == 1
+
+
+def test_streamed_ingest_equals_batch(spark, ix, tmp_path):
+    rows = [arrival(i, f"k{i % 3}", description=f"Storm near {['Pattoki', 'Mingora'][i // 3 % 2]}.") for i in range(9)]
+    df = incoming(spark, *rows)
+    for lo in (0, 3, 6):
+        df.filter(f"seq >= {lo} AND seq < {lo + 3}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    job = ST.stream_ingest(ST.stream_documents(spark, str(tmp_path / "in"), df.schema, max_files=1), ix)
+    whole = ING.ingest(df, ING.empty_store(spark), ix)
+    for name in ING.STORE:
+        assert sorted(map(str, job.snapshot(name).collect())) == sorted(map(str, whole[name].collect())), name
+
+
+def test_backfill_dry_run_only_counts(spark, ix):
+    made = ING.ingest(incoming(spark, arrival(1, "a"), arrival(2, "b")), ING.empty_store(spark), ix)
+    store = {n: made[n] for n in ING.STORE}
+    assert ING.backfill(store, ix, dry_run=True)["counts"].first().asDict() == {"processed": 0, "skipped": 2}
+    store["resolutions"] = store["resolutions"].limit(0)
+    out = ING.backfill(store, ix, dry_run=True)
+    assert list(out) == ["counts"] and out["counts"].first().processed == 2
+    again = ING.backfill(store, ix)
+    assert sorted(map(str, again["locations"].collect())) == sorted(map(str, made["locations"].collect()))
+
+
+def test_weather_feed_is_normalised(spark):
+    cap = "<alert><identifier>X</identifier><sent>2026-07-01T10:00:00+05:00</sent><info><headline>Rain</headline><severity>Severe</severity><instruction>Stay</instruction></info></alert>"
+    row = feeds.run_feed("PMDWeatherScraper", spark.createDataFrame([("u", cap)], "url string, content string")).first()
+    assert (row.status, row.normalized_severity, row.issued_at) == ("pending", "unknown", dt.datetime(2026, 7, 1, 5)) and row.description.endswith("Instructions: Stay")
+
+
+def test_trend_flags_are_capitals(spark):
+    table = "DAILY FLOOD BULLETIN 4. QUANTITATIVE FLOOD FORECAST INDUS Chashma 10 20 30 f 270 Low CHENAB Trimmu 1 2 3 R 4 High Spatial: x"
+    rows = B.sections(spark.createDataFrame([(table,)], "raw_text string")).select(F.explode(B.forecast_rows(F.col("__parts"))).alias("r")).select("r.station", "r.trend")
+    assert {tuple(r) for r in rows.collect()} == {("Chashma", None), ("Trimmu", "Increasing")}
