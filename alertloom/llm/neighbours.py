@@ -26,7 +26,7 @@ SEED = 7
 SAMPLE = 16_384  # rows whose projections fit the upper tree; every row is indexed
 SHARD_ROWS = 4096
 SHARD_QUERIES = 8192
-BUCKET = 64
+BUCKET = 512
 
 
 def chi_square_below(x: float, axes: int) -> float:
@@ -102,31 +102,41 @@ def box_distance(point: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
 
 
 class Shard:
-    """Some rows under a kd-tree of their projections."""
+    """Some rows under a kd-tree of their projections, stored leaf by leaf."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray) -> None:
-        self.tree = KdTree(points, BUCKET)
-        self.ids, self.vectors, self.points = ids, vectors, points
-        self.norms = np.sqrt((vectors * vectors).sum(1))
-        boxes = [(points[own].min(0), points[own].max(0)) for own in self.tree.order]
-        self.low, self.high = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
+        leaves = KdTree(points, BUCKET).order
+        order = np.concatenate(leaves)
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.units = self.vectors / np.sqrt((self.vectors * self.vectors).sum(1))[:, None]
+        self.ends = np.cumsum([len(own) for own in leaves])
+        self.low, self.high = np.array([points[own].min(0) for own in leaves]), np.array([points[own].max(0) for own in leaves])
 
     def nearest(self, query_id: int, vector: np.ndarray, point: np.ndarray, bound: float, k: int, factor: float) -> list[tuple[float, int]]:
-        """The best (score, id) of the shard; ``bound`` is a squared distance within which k others are known."""
+        """The best (score, id) of the shard; ``bound`` is a squared distance within which k others are known.
+
+        A fast product picks the rows of a leaf that can still matter; their
+        scores are then worked out row by row, so that equal vectors get equal ones.
+        """
         norm = math.sqrt(float((vector * vector).sum()))
+        unit = vector / norm
         best: list[tuple[float, int]] = []
         away = box_distance(point, self.low, self.high)
         for leaf in np.argsort(away, kind="stable"):
             if away[leaf] > bound * factor:
                 break
-            own = self.tree.order[leaf]
-            own = own[((self.points[own] - point) ** 2).sum(1) <= bound * factor]
+            begin, end = self.ends[leaf - 1] if leaf else 0, self.ends[leaf]
+            near = self.units[begin:end] @ unit
+            enough = 1 - bound / 2 - 1e-9
+            if len(near) > 4 * (k + 1):
+                enough = max(enough, float(np.partition(near, -(k + 1))[-(k + 1)]) - 1e-9)  # the query itself may be one of them
+            own = begin + np.flatnonzero(near >= enough)
             own = own[self.ids[own] != query_id]
             if not len(own):
                 continue
-            scores = (self.vectors[own] * vector).sum(1) / (self.norms[own] * norm)
-            best += zip(scores.tolist(), self.ids[own].tolist())
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+            rows = self.vectors[own]
+            scores = (rows * vector).sum(1) / (np.sqrt((rows * rows).sum(1)) * norm)
+            best = sorted([*best, *zip(scores.tolist(), self.ids[own].tolist())], key=lambda x: (-x[0], x[1]))[:k]
             if len(best) == k:
                 bound = min(bound, max(0.0, 2 - 2 * best[-1][0]) + 1e-12)
         return best
