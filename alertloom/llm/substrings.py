@@ -26,7 +26,7 @@ LOG_CELLS = 26  # cells of each of the two sketch rows; the merged sketch is 2 *
 LOG_SEGMENT = 16  # cells of a segment, the unit in which sketches are merged
 LOG_FIRSTS = 27  # bits of the bitmap of first copies, 16 MB
 BITMAP_BITS = 32_768  # of one of Spark's bitmaps
-HASHES_AT_ONCE = 2_000_000
+HASHES_AT_ONCE = 500_000
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # any odd multipliers
 NULL_ID = -(2**63)  # a null doc_id sorts first
 
