@@ -24,17 +24,25 @@ QUERIES_AT_ONCE = 512
 ROWS_AT_ONCE = 16_384
 
 
-def fingerprint(body: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a text's word shingles; 0 without words."""
+def windows(body: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The words in lower case, joined by spaces, with starts and ends of the shingles; a text of fewer words is one."""
     words = body.lower().split()
     if not words:
-        return 0
+        return b"", [], []
     joined = b" ".join(words)
     spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
     starts = np.concatenate([[0], spaces + 1])
     ends = np.concatenate([spaces, [len(joined)]])
     n = max(1, len(words) - shingle + 1)
-    starts, ends = starts[:n].tolist(), ends[min(shingle, len(words)) - 1:].tolist()
+    return joined, starts[:n].tolist(), ends[min(shingle, len(words)) - 1:].tolist()
+
+
+def fingerprint(body: bytes, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of a text's word shingles; 0 without words."""
+    joined, starts, ends = windows(body, shingle)
+    n = len(starts)
+    if not n:
+        return 0
     digest = xxhash.xxh64_digest
     ones = np.zeros(64, np.int64)
     for at in range(0, n, SHINGLES_AT_ONCE):
@@ -149,11 +157,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, with all its columns: the smallest doc_id (nulls last); of repeated rows one stays."""
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One document per root of ``grouped(doc_id, text_key, root)``, with all its columns: the smallest doc_id (nulls last); of repeated rows one stays."""
     id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     first = F.min(F.struct(id_key.alias("id_key__"), F.col("text_key").alias("text_key__"))).alias("first")
-    keep = _grouped(docs, shingle, radius).groupBy("root").agg(first).select("first.*")
+    keep = grouped.groupBy("root").agg(first).select("first.*")
     text_key = F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
     keyed = docs.withColumns({"id_key__": id_key, "text_key__": text_key})
     return keyed.join(keep, ["id_key__", "text_key__"], "left_semi").dropDuplicates(["id_key__", "text_key__"]).select(*docs.columns)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, with all its columns: the smallest doc_id (nulls last); of repeated rows one stays."""
+    return keep_first(docs, _grouped(docs, shingle, radius))
