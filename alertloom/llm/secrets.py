@@ -3,8 +3,9 @@
 Three patterns give the base spans. Every other long token is tested: its
 encoding is inferred from its characters; a chi-squared test of a uniform
 alphabet, a runs test over character classes and a serial correlation test must
-all find it compatible with randomness; and the first two must find it
-incompatible with ordinary text. The latter evidence is a p-value, and within
+all find it compatible with randomness; and the first two together must find it
+incompatible with ordinary text. Their normal scores against text are added up
+(Stouffer's method) into one p-value, and within
 each class of token lengths false discoveries among all tokens of the corpus
 are controlled.
 """
@@ -99,7 +100,7 @@ def measured(token: Column) -> Column:
         spread = f["square_sum"] - n * mean * mean
         serial = F.when(spread > 0, (f["lagged"] - (n - 1) * mean * mean) / spread * F.sqrt(n)).otherwise(1e9)
         random = (f["turn"] > 0) & (uniform < LIMIT) & (F.abs(runs) < LIMIT) & (F.abs(serial) < LIMIT)
-        evidence = F.least(upper_tail(as_text), upper_tail(turns_in_text))
+        evidence = upper_tail((as_text + turns_in_text) / 2 ** 0.5)
         length_class = sum(((n >= low).cast("int") for low in LENGTHS), F.lit(0))
         return F.struct(f["start"].alias("start"), f["end"].alias("end"), length_class.alias("class"),
                         F.least(F.floor(evidence * STEPS), F.lit(TOP_LEVEL)).cast("int").alias("level"), random.alias("random"))
