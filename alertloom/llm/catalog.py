@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from alertloom.llm.bpe import token_digest
 from alertloom.llm.common import table
 from alertloom.llm.decontaminate import CONTAMINATION_SQL, contamination
 from alertloom.llm.lines import LINES_SQL, line_digest
+from alertloom.llm.merkle import MANIFEST_SQL, manifest_digest
 from alertloom.llm.neighbours import nearest_neighbours
 from alertloom.llm.packing import pack
 from alertloom.llm.quality import quality_scores
 from alertloom.llm.secrets import secret_digest
 from alertloom.llm.sharding import shard_digest
 from alertloom.llm.simhash import near_duplicates
+from alertloom.llm.spelling import SPELLING_SQL, spelling_groups
 from alertloom.llm.substrings import SUBSTRING_SQL, substring_digest
 from alertloom.llm.urls import judge
 
@@ -85,4 +88,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op11_bpe_encoding")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op12_spelling_variants", SPELLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_all_registered():
-    assert set(QUERIES) <= set(entry_module.queries()) and {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in QUERIES}
+    assert set(QUERIES) <= set(entry_module.queries()) and {f"op{n}_" for n in range(1, 14)} <= {q.split("_")[0] + "_" for q in QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
