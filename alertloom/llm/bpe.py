@@ -25,7 +25,7 @@ from tokenizers import Tokenizer, models
 from alertloom.llm.common import in_arrow
 from alertloom.session import write_and_read
 
-LEAF = 16_384        # code points of a leaf; texts up to this length are not cut
+LEAF = 32_768        # code points of a leaf; texts up to this length are not cut
 LONG_WORD = 64       # code points from which a word that crosses a join is joined piece by piece
 AHEAD = 3            # code points that finding a word looks at beyond its start: the longest contraction
 FIRST_WINDOW = 16
@@ -89,6 +89,7 @@ class Codec:
         for text, i in [*model["vocab"].items(), *self.special.items()]:
             self.token[i] = text
         self.token_bytes = [t.encode() for t in self.token]
+        self.ends_word = np.array([t.endswith(self.suffix) for t in self.token])
         outer = self
 
         class Words(dict):
@@ -139,13 +140,16 @@ class Codec:
         """What the library's ``decode`` gives without a decoder: the pieces' names, a space between them."""
         return b" ".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def leaf(self, text: str, begin: int) -> Node:
-        """A leaf; its positions count from the start of the whole text."""
+    def leaf_ids(self, text: str) -> bytes:
+        """Ids of a stretch of normalised text on its own."""
+        return b"".join([self.words[text[a:b]] for a, b in zip(*self.spans(text))])
+
+    def leaf(self, text: str, begin: int, ids: bytes | None = None) -> Node:
+        """A leaf; its positions count from the start of the whole text. Every word ends with a piece that says so."""
         starts, ends = self.spans(text)
-        found = [self.words[text[a:b]] for a, b in zip(starts, ends)]
-        return Node(
-            begin, begin + len(text), [begin + a for a in starts], [begin + b for b in ends], [len(x) // 4 for x in found],
-            np.frombuffer(b"".join(found), "<u4"))
+        own = np.frombuffer(self.leaf_ids(text) if ids is None else ids, "<u4")
+        counts = np.diff(np.flatnonzero(self.ends_word[own]), prepend=-1)
+        return Node(begin, begin + len(text), [begin + a for a in starts], [begin + b for b in ends], counts, own)
 
     def join(self, text: str, left: Node, right: Node) -> Node:
         """The encoding of two neighbouring stretches of ``text`` as one."""
@@ -229,7 +233,7 @@ def codec(path: str) -> Codec:
 
 IDS = "doc_id long, ids binary"
 LEAVES = "doc_id long, task int, row long, part int, at long, special long, body string"
-NODES = "doc_id long, task int, row long, node struct<part: int, at: long, special: long, body: string, starts: binary, ends: binary, counts: binary, ids: binary>"
+NODES = "doc_id long, task int, row long, node struct<part: int, at: long, special: long, body: string, ids: binary>"
 
 
 def _encode_short(path: str):
@@ -263,32 +267,24 @@ def _cut(path: str, leaf: int):
 
 def _encode_leaves(path: str):
     def run(batches):
-        make = codec(path).leaf
+        encode_leaf = codec(path).leaf_ids
         for batch in batches:
-            for r in batch.to_pylist():
-                node = make(r["body"], r["at"]) if r["special"] is None else Node(0, 0, [], [], [], np.array([r["special"]], "<u4"))
-                pack = {
-                    "part": r["part"], "at": r["at"], "special": r["special"], "body": r["body"],
-                    "starts": np.array(node.starts, "<i8").tobytes(), "ends": np.array(node.ends, "<i8").tobytes(),
-                    "counts": node.counts(0, len(node.starts)).astype("<i4").tobytes(), "ids": node.ids.tobytes()}
-                yield pa.RecordBatch.from_pylist(
-                    [{"doc_id": r["doc_id"], "task": r["task"], "row": r["row"], "node": pack}], _NODE_SCHEMA)
+            ids = [
+                encode_leaf(body) if special is None else np.array([special], "<u4").tobytes()
+                for body, special in zip(batch.column("body").to_pylist(), batch.column("special").to_pylist())]
+            names = ["part", "at", "special", "body"]
+            node = pa.StructArray.from_arrays([*map(batch.column, names), pa.array(ids, pa.binary())], [*names, "ids"])
+            keys = ["doc_id", "task", "row"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), node], [*keys, "node"])
 
     return run
 
 
-_NODE_SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("task", pa.int32()), ("row", pa.int64()),
-    ("node", pa.struct([
-        ("part", pa.int32()), ("at", pa.int64()), ("special", pa.int64()), ("body", pa.string()), ("starts", pa.binary()),
-        ("ends", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())]))])
-
-
 def _join_leaves(path: str):
     """The leaves of a text, which are bounded by that one row, into its ids."""
 
     def run(batches):
-        join = codec(path).joined
+        make, join = codec(path).leaf, codec(path).joined
         for batch in batches:
             for doc_id, nodes in zip(batch.column("doc_id").to_pylist(), batch.column("nodes").to_pylist()):
                 by_part: dict[int, list] = {}
@@ -299,9 +295,7 @@ def _join_leaves(path: str):
                     if held[0]["special"] is not None:
                         out.append(held[0]["ids"])
                         continue
-                    made = [Node(
-                        x["at"], x["at"] + len(x["body"]), np.frombuffer(x["starts"], "<i8").tolist(), np.frombuffer(x["ends"], "<i8").tolist(),
-                        np.frombuffer(x["counts"], "<i4"), np.frombuffer(x["ids"], "<u4")) for x in held]
+                    made = [make(x["body"], x["at"], x["ids"]) for x in held]
                     out.append(join("".join(x["body"] for x in held), made).ids.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc_id], pa.int64()), pa.array([b"".join(out)], pa.binary())], ["doc_id", "ids"])
