@@ -26,24 +26,42 @@ def _unhealthy() -> Column:
     return (F.col("consecutive_failures") > 0) | (F.col("health_status") == "unhealthy")
 
 
-def summary_metrics(alerts: DataFrame, locations: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row: alert counts, affected districts, source health, last update."""
+def alert_counts(alerts: DataFrame, *keys: str) -> DataFrame:
+    """Alerts held, active and critical ones and the newest time, per key or over all."""
     active = F.col("status") == "active"
-    counts = alerts.agg(
-        F.count_if(active).alias("active_alerts_count"),
+    return alerts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("alerts_in_store"), F.count_if(active).alias("active_alerts_count"),
         F.count_if(active & (F.col("normalized_severity") == "critical")).alias("critical_alerts_count"),
         F.max(F.coalesce("updated_at", "issued_at")).alias("alerts_updated"))
-    districts = locations.join(alerts.select(F.col("id").alias("alert_id")), "alert_id", "left_semi").agg(
-        F.countDistinct(text.filled(F.col("district"))).alias("n"))
+
+
+def districts_of(locations: DataFrame, ids: DataFrame) -> DataFrame:
+    """The districts of the locations of some alerts (``alert_id``)."""
+    held = locations.join(ids, "alert_id", "left_semi")
+    return held.select(text.filled(F.col("district")).alias("district")).filter("district IS NOT NULL").distinct()
+
+
+def summary_row(counts: DataFrame, districts: DataFrame, sources: DataFrame) -> DataFrame:
+    """The summary out of alert counts (any number of rows), affected districts and source states."""
+    total = counts.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("alerts_in_store", "active_alerts_count", "critical_alerts_count")],
+        F.max("alerts_updated").alias("alerts_updated"))
     health = sources.agg(F.struct(
         F.count_if(_healthy()).alias("ok"), F.count_if(_unhealthy()).alias("bad"),
         F.max("last_checked_at").alias("checked")).alias("h")).scalar()
-    return counts.select(
-        "active_alerts_count", "critical_alerts_count", districts.scalar().alias("affected_districts_count"),
+    return total.select(
+        "alerts_in_store", "active_alerts_count", "critical_alerts_count",
+        districts.agg(F.count(F.lit(1)).alias("n")).scalar().alias("affected_districts_count"),
         health["ok"].alias("healthy_sources_count"), health["bad"].alias("unhealthy_sources_count"),
         F.coalesce(health["checked"], "alerts_updated").alias("latest_update_time"))
 
 
+def summary_metrics(alerts: DataFrame, locations: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row: alert counts, affected districts, source health, last update."""
+    ids = alerts.select(F.col("id").alias("alert_id"))
+    return summary_row(alert_counts(alerts), districts_of(locations, ids), sources).drop("alerts_in_store")
+
+
 def map_summary(map_alerts: DataFrame, locations: DataFrame) -> DataFrame:
     districts = locations.join(map_alerts.select(F.col("id").alias("alert_id")), "alert_id", "left_semi").agg(
         F.countDistinct(text.filled(F.col("district"))).alias("n"))

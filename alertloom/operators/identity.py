@@ -24,10 +24,23 @@ def _key(kind: str, *parts: str) -> Column:
     return F.concat_ws("\u0001", F.lit(kind), *[F.col(p).cast("string") for p in parts])
 
 
-def _own_key() -> Column:
+SLOT = ["source_id", "title", "issued_at"]
+
+
+def own_key() -> Column:
+    """The key of an alert by its source's own id; null without one."""
     return F.when(filled(F.col("source_alert_id")).isNotNull(), _key("id", "source_id", "source_alert_id"))
 
 
+def slot_key() -> Column:
+    """The key by source, title and time of issue; null where title or time are."""
+    return F.when(F.col("title").isNotNull() & F.col("issued_at").isNotNull(), _key("title", *SLOT))
+
+
+def row_key() -> Column:
+    return _key("row", "seq")
+
+
 def stable_id(key: Column) -> Column:
     """A positive id that depends on the key alone: 60 bits of its MD5."""
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("bigint")
@@ -40,22 +53,21 @@ def match_keys(batch: DataFrame, current: DataFrame) -> DataFrame:
     issue time) against every stored alert of the source, also those with an
     id, or an earlier row of the batch; null title or time matches nothing.
     """
-    slot = ["source_id", "title", "issued_at"]
-    title_key = _key("title", *slot)
+    slot, title_key = SLOT, _key("title", *SLOT)
     stored = current.select(
-        F.coalesce(_own_key(), title_key, F.concat_ws("\u0001", F.lit("stored"), F.col("id"))).alias("s_key"), "id", *slot)
+        F.coalesce(own_key(), title_key, F.concat_ws("\u0001", F.lit("stored"), F.col("id"))).alias("s_key"), "id", *slot)
     by_key = stored.groupBy("s_key").agg(F.min("id").alias("stored_id"))
     by_slot = stored.groupBy(*slot).agg(F.min_by("s_key", "id").alias("slot_key"))
-    in_batch = batch.withColumn("b_key", _own_key()).filter("b_key IS NOT NULL").groupBy(*slot).agg(
+    in_batch = batch.withColumn("b_key", own_key()).filter("b_key IS NOT NULL").groupBy(*slot).agg(
         F.min_by("b_key", "seq").alias("batch_key"), F.min("seq").alias("batch_seq"))
 
-    own = batch.withColumn("own_key", _own_key())
+    own = batch.withColumn("own_key", own_key())
     with_id = own.filter("own_key IS NOT NULL").withColumnRenamed("own_key", "match_key")
     without = (
         own.filter("own_key IS NULL").join(by_slot, slot, "left").join(in_batch, slot, "left")
         .withColumn("match_key", F.coalesce(
             "slot_key", F.when(F.col("batch_seq") < F.col("seq"), F.col("batch_key")),
-            F.when(F.col("title").isNotNull() & F.col("issued_at").isNotNull(), title_key), _key("row", "seq")))
+            slot_key(), row_key()))
         .drop("slot_key", "batch_key", "batch_seq", "own_key"))
     keyed = with_id.unionByName(without)
     return keyed.join(by_key.withColumnRenamed("s_key", "match_key"), "match_key", "left")

@@ -50,7 +50,7 @@ def children(alerts: DataFrame, structured: DataFrame, conditions: DataFrame, ix
 
     ``alerts``: id, title, description, raw_text, cache_key.
     """
-    found = M.extract(alerts, structured, ix.words, ix.gaz, safety)
+    found = M.extract(alerts, structured, ix.words, ix.gaz, safety, ix.probe)
     named = found["mentions"].select(
         F.col("id").alias("alert_id"), "location_id", "canonical_name", "entity_type", "matched_text", "text_source", "match_method",
         F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), "evidence_score", "confidence")
@@ -89,12 +89,18 @@ def prepare(incoming: DataFrame, ix: R.Index) -> dict[str, DataFrame]:
 def ingest(incoming: DataFrame, store: dict[str, DataFrame], ix: R.Index, rejected: DataFrame | None = None) -> dict[str, DataFrame]:
     """Next version of the stored tables, with actions, revisions, changes and stats.
 
-    ``incoming`` has the columns of ``INCOMING``; ``seq`` orders arrivals. An
-    alert's children are those of its last accepted arrival; ignored arrivals
-    change nothing. ``rejected`` are rows that a feed could not read: they are
-    counted, and the others go on.
+    ``incoming`` has the columns of ``INCOMING``; ``seq`` orders arrivals.
+    ``rejected`` are rows that a feed could not read: they are counted, and the
+    others go on.
+    """
+    return merge(prepare(incoming, ix), store, rejected)
+
+
+def merge(made: dict[str, DataFrame], store: dict[str, DataFrame], rejected: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Prepared arrivals into the stored tables, or into those parts of them that
+    hold every alert the arrivals match. An alert's children are those of its last
+    accepted arrival; ignored arrivals change nothing.
     """
-    made = prepare(incoming, ix)
     batch = made["alerts"]
     marks = write_and_read(I.classify(batch, store["alerts"]), "ingest-actions")
     last = I.change_set(marks).groupBy("alert_id").agg(F.max("seq").alias("seq"))
@@ -107,12 +113,15 @@ def ingest(incoming: DataFrame, store: dict[str, DataFrame], ix: R.Index, reject
     return out | {"actions": marks, "revisions": I.revisions(marks), "changes": change_feed(marks, batch), "stats": stats}
 
 
-def backfill(store: dict[str, DataFrame], ix: R.Index, dry_run: bool = False) -> dict[str, DataFrame]:
+def backfill(store: dict[str, DataFrame], ix: R.Index, dry_run: bool = False, named_only: bool = False) -> dict[str, DataFrame]:
     """Extracts again the alerts whose resolution is missing or stale.
 
-    Stored locations take the part of the structured field; title, description
-    and raw text are read again. Returns the stored tables with those alerts'
-    children replaced, and ``counts`` (processed, skipped). ``dry_run`` counts only.
+    All stored locations take the part of the structured field, so a place that
+    was read from a text is structured from then on; with ``named_only`` just
+    those that a structured field gave, and the result is that of the first
+    extraction. Title, description and raw text are read again. Returns the stored
+    tables with those alerts' children replaced, and ``counts`` (processed,
+    skipped). ``dry_run`` counts only.
     """
     keyed = store["alerts"].withColumn("cache_key", hashing.cache_key(F.col("content_hash"), K.GAZETTEER_VERSION, K.EXTRACTION_VERSION))
     stale = write_and_read(J.needs_resolution(keyed, store["resolutions"]), "backfill")
@@ -121,6 +130,8 @@ def backfill(store: dict[str, DataFrame], ix: R.Index, dry_run: bool = False) ->
         return {"counts": counts}
     place = F.struct("city", "district", "province", "latitude", "longitude")
     structured = store["locations"].withColumnRenamed("alert_id", "id").join(stale.select("id"), "id", "left_semi").filter("raw_location IS NOT NULL")
+    if named_only:
+        structured = structured.filter("text_source = 'STRUCTURED_SCRAPER_FIELD'")
     structured = structured.groupBy("id", "raw_location").agg(F.min_by(place, "location_id").alias("r"), (-F.max("evidence_score")).alias("pos")).select(
         "id", "pos", "raw_location", "r.*")  # strongest evidence first
     conditions = B.river_conditions(B.structure_bulletins(stale.select("id", "raw_text", "source_url")), "id").withColumnRenamed("pos", "cond_pos")

@@ -1,17 +1,22 @@
 """Place mentions in text by dictionary join.
 
-Text is folded and cut into tokens, each with a short window of text. A token
-goes on only if some pattern starts with it (join with the head words); the
-n-grams of the lengths that head word has then join the dictionary.
+Text is folded and cut into tokens. A token goes on only if a filter of fixed
+size may hold it, or it and the token after it, as the start of a pattern; it then
+gets a short window of text, and its n-grams join the dictionary. The filter lets
+a few others through, and loses none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from alertloom import constants as K
 from alertloom.functions import text
-from alertloom.functions.arrays import prefix_sums
 from alertloom.operators import gazetteer as G
 from alertloom.session import write_and_read
 
@@ -33,9 +38,10 @@ def searchable(words: DataFrame) -> DataFrame:
     # Token count must equal the one the text side sees, so inner doubles stay.
     inner = F.trim(_spaced(F.col("pattern")))
     parts = F.split(inner, " ")
-    return words.filter(core != "").select(
+    long_enough = (F.length("pattern") >= 3) | F.col("pattern").isin(K.SHORT_PATTERNS)
+    return words.filter((core != "") & long_enough).select(
         "pattern", G.candidates().alias("choices"), F.array_join(parts, " ").alias("gram"), F.size(parts).alias("n_words"), F.get(parts, 0).alias("head"),
-        F.length(first).alias("lead"))
+        F.get(parts, 1).alias("second"), F.length(first).alias("lead"))
 
 
 BLOCK = 1024  # characters of text handled together; keeps work per token independent of text length
@@ -43,14 +49,56 @@ CONTEXT = 16  # characters of context looked at on either side of a match
 AROUND = CONTEXT + 1  # characters kept right of the longest pattern
 
 
-def token_windows(texts: DataFrame, keys: list[str], column: str, reach: int, behind: int = AROUND) -> DataFrame:
-    """One row per token: keys, start in the folded text, the token (``head``)
-    and the text just before it and from it on.
+SLOT_BITS = 20  # the filter of pattern starts has so many address bits: one megabyte, whatever the dictionary
+
+
+def _slot(words: list[Column], nth: int) -> Column:
+    return F.shiftright(F.xxhash64(*words), SLOT_BITS * nth).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
+
+
+@dataclass(frozen=True)
+class Probe:
+    """What the text side of a scan knows of the dictionary."""
+
+    reach: int          # characters of the longest pattern
+    lead: int           # characters before a pattern's first word, at most
+    lengths: list[int]  # the numbers of words that patterns have
+    bits: bytes         # one byte per slot
+
+    @classmethod
+    def of(cls, words: DataFrame) -> Probe:
+        """Read from a dictionary: no more than 2**SLOT_BITS slot numbers in 64 rows, and the lengths, reach the driver."""
+        index = searchable(words)
+        starts = lambda nth: F.when(F.col("n_words") == 1, _slot([F.col("head")], nth)).otherwise(_slot([F.col("head"), F.col("second")], nth))
+        slots = F.array_distinct(F.array(starts(0), starts(1)))
+        rows = index.select(F.explode(slots).alias("slot"), F.length("pattern").alias("size"), "lead", "n_words").groupBy(
+            F.shiftright("slot", SLOT_BITS - 6)).agg(
+            F.collect_set("slot").alias("slots"), F.max("size").alias("size"), F.max("lead").alias("lead"), F.collect_set("n_words").alias("lengths")).collect()
+        bits = bytearray(1 << SLOT_BITS)
+        for r in rows:
+            for slot in r["slots"]:
+                bits[slot] = 1
+        return cls(
+            max((r["size"] for r in rows), default=0), max((r["lead"] for r in rows), default=0),
+            sorted({n for r in rows for n in r["lengths"]}), bytes(bits))
+
+    def may_start(self, first: Column, second: Column) -> Column:
+        """Whether a pattern may start with these words: the first alone is one, or both are the first two of one."""
+        byte = lambda words, nth: F.substring(F.lit(self.bits), _slot(words, nth) + 1, F.lit(1)) == F.lit(b"\x01")
+        held = lambda words: byte(words, 0) & byte(words, 1)
+        tests = [held([first])] * (1 in self.lengths) + [held([first, second])] * any(n > 1 for n in self.lengths)
+        return reduce(or_, tests)
+
+
+def token_windows(texts: DataFrame, keys: list[str], column: str, probe: Probe) -> DataFrame:
+    """One row per token that may start a pattern: keys, start in the folded text,
+    the lengths that it may start and the text just before it and from it on.
 
     A text is cut into blocks in one pass. Each block row carries its own
-    characters, ``behind`` of the block before and what a pattern may reach
-    into the next one, so work and memory grow with the text and not its square.
+    characters, a little of the block before and what a pattern may reach into
+    the next one, so work and memory grow with the text and not its square.
     """
+    reach, behind = probe.reach, AROUND + probe.lead
     size = max(BLOCK, reach + AROUND, behind)
     folded = texts.select(*keys, text.fold(F.col(column)).alias("folded"))
     blocks = folded.select(*keys, F.regexp_extract_all("folded", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("blocks"))
@@ -60,35 +108,36 @@ def token_windows(texts: DataFrame, keys: list[str], column: str, reach: int, be
         near(k - 1, lambda x: F.right(x, F.lit(behind))).alias("left"),
         F.concat(near(k - 1, lambda x: F.right(x, F.lit(behind))), b, near(k + 1, lambda x: F.left(x, F.lit(reach + AROUND)))).alias("part")))
     # Outer explodes: the inner form makes the optimizer evaluate the arrays a
-    # second time as a size test. The join with the heads drops null tokens.
+    # second time as a size test. The joins drop the nulls.
     part = blocks.select(*keys, F.explode_outer(cut).alias("b")).select(
         *keys, F.col("b.off").alias("off"), F.col("b.own").alias("own"), F.length("b.left").alias("left"), F.col("b.part").alias("part"))
     part = part.withColumn("toks", F.split(_spaced(F.col("part")), " "))
-    ends = prefix_sums(F.transform("toks", lambda t: (F.length(t) + 1).cast("long")), 64)
-    placed = F.zip_with("toks", ends, lambda t, e: F.struct(t.alias("head"), (e - F.length(t) - 1).cast("int").alias("rel")))
-    own = F.filter(placed, lambda t: (t["head"] != "") & (t["rel"] >= F.col("left")) & (t["rel"] < F.col("left") + F.col("own")))
-    def window(t):
-        back = F.least(t["rel"], F.lit(behind))
-        return F.struct(
-            t["head"].alias("head"), (F.col("off") + t["rel"] - F.col("left")).alias("at"),
-            F.substring(F.col("part"), t["rel"] - back + 1, back).alias("before"),
-            F.substring(F.col("part"), t["rel"] + 1, F.lit(reach + AROUND)).alias("ahead"))
-    rows = part.select(*keys, F.explode_outer(F.transform(own, window)).alias("w"))
-    return rows.select(*keys, "w.head", "w.at", "w.before", "w.ahead")
-
-
-def scan(texts: DataFrame, words: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
+    # Plain explodes and filters are compiled into one loop: nothing is copied for tokens that do not pass.
+    tokens = part.select("*", F.posexplode_outer("toks").alias("i", "head")).filter(
+        (F.col("head") != "") & probe.may_start(F.col("head"), F.get("toks", F.col("i") + 1)))
+    rel = F.when(F.col("i") == 0, 0).otherwise(F.length(F.array_join(F.slice("toks", F.lit(1), F.col("i")), " ")) + 1)
+    found = tokens.withColumn("rel", rel).filter((F.col("rel") >= F.col("left")) & (F.col("rel") < F.col("left") + F.col("own")))
+    back = F.least(F.col("rel"), F.lit(behind))
+    return found.select(
+        *keys, (F.col("off") + F.col("rel") - F.col("left")).alias("at"), F.substring(F.col("part"), F.col("rel") - back + 1, back).alias("before"),
+        F.substring(F.col("part"), F.col("rel") + 1, F.lit(reach + AROUND)).alias("ahead"), F.explode(F.array(*[F.lit(n) for n in probe.lengths])).alias("n_words"))
+
+
+def scan(texts: DataFrame, words: DataFrame, keys: list[str], column: str = "text", probe: Probe | None = None) -> DataFrame:
     """Hits per text: keys, start, end (in the folded text), matched_text,
-    numeric_id, entity_type, match_method. Contained hits are removed."""
-    index = searchable(words).filter(
-        (F.length("pattern") >= 3) | F.col("pattern").isin(K.SHORT_PATTERNS))
+    numeric_id, entity_type, match_method. Contained hits are removed.
+    ``probe`` is ``Probe.of(words)``, where that is kept with the dictionary.
+    """
+    index = searchable(words)
     size = F.length("pattern")
-    reach, lead = index.agg(F.coalesce(F.max(size), F.lit(0)), F.coalesce(F.max("lead"), F.lit(0))).first()
-    # No hints: the planner broadcasts these by their measured size or splits
-    # the partitions of hot words.
-    heads, grams = index.select("head", "n_words").distinct(), index.drop("head", "n_words")
-
-    rows = token_windows(texts, keys, column, reach, AROUND + lead).join(heads, "head")
+    probe = probe or Probe.of(words)
+    if not probe.lengths:  # an empty dictionary
+        texts, probe = texts.limit(0), replace(probe, lengths=[1])
+    # No hints: the planner broadcasts this by its measured size or splits the
+    # partitions of hot n-grams.
+    grams = index.drop("head", "second", "n_words")
+
+    rows = token_windows(texts, keys, column, probe)
     # Fewer words left than asked for gives a shorter text; the exact test
     # below could then pass for several word counts, so the count must fit.
     spaced = _spaced(F.col("ahead"))
@@ -113,45 +162,48 @@ def scan(texts: DataFrame, words: DataFrame, keys: list[str], column: str = "tex
     return remove_contained(spans, keys, keep="safe")
 
 
+FOLDED = 128  # spans folded together
+
+
 def remove_contained(spans: DataFrame, keys: list[str], keep: str | None = None) -> DataFrame:
     """Drop a span inside an earlier kept span of another entity.
 
-    Spans are cut into islands: a span that starts at or after the end of all
-    spans before it can't lie inside any of them. Within an island, a few
-    spans as a rule, they are folded in order. Starts only grow, so the
-    furthest end of the kept spans, and the furthest end among entities other
-    than that one's, decide containment. ``keep`` names a flag column: spans
-    without it take no part (a flag, not a filter, so that the optimizer does
-    not evaluate it twice).
+    The spans of one text, which are bounded by that text, are folded in order.
+    Starts only grow, so the furthest end of the kept spans, and the furthest end
+    among entities other than that one's, decide containment. The fold runs in
+    chunks that pass this frontier on, and only lists of chunks grow, so its work
+    grows with the spans. ``keep`` names a flag column: spans without it take no
+    part (a flag, not a filter, so that the optimizer does not evaluate it twice).
     """
     payload = [c for c in spans.columns if c not in keys and c != keep]
     rows = spans.filter(keep) if keep else spans
-    earlier = Window.partitionBy(*keys).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy(*keys).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.coalesce(F.col("start") >= F.col("__reach"), F.lit(True)).cast("int")
-    rows = rows.withColumn("__reach", F.max("end").over(earlier)).withColumn("__island", F.sum(opens).over(so_far))
     span = F.struct("start", (-F.col("end")).alias("__o"), *[c for c in payload if c != "start"])
-    spans_of_text = rows.groupBy(*keys, "__island").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    element = spans_of_text.schema["spans"].dataType.elementType
-    none = F.lit(None).cast(spans_of_text.schema["spans"].dataType)
+    of_text = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    kind = of_text.schema["spans"].dataType
+    none = lambda t: F.array().cast(t)
     far = lambda end, who, other: F.struct(end.alias("end"), who.alias("who"), other.alias("other"))
-    zero = F.struct(
-        F.coalesce(none, F.array().cast(spans_of_text.schema["spans"].dataType)).alias("kept"),
-        far(F.lit(-1), F.lit(None).cast("bigint"), F.lit(-1)).alias("far"))
+    state = lambda kept, at: F.struct(kept.alias("kept"), at.alias("far"))
 
     def step(acc, m):
         f = acc["far"]
         same = f["who"].eqNullSafe(m["numeric_id"])
         covered = F.when(same, f["other"] >= m["end"]).otherwise(f["end"] >= m["end"])
-        longer = m["end"] > f["end"]
         moved = (
             F.when(same, far(F.greatest(f["end"], m["end"]), f["who"], f["other"]))
-            .when(longer, far(m["end"], m["numeric_id"], f["end"]))
+            .when(m["end"] > f["end"], far(m["end"], m["numeric_id"], f["end"]))
             .otherwise(far(f["end"], f["who"], F.greatest(f["other"], m["end"]))))
-        return F.when(covered, acc).otherwise(F.struct(F.concat(acc["kept"], F.array(m)).alias("kept"), moved.alias("far")))
+        return F.when(covered, acc).otherwise(state(F.concat(acc["kept"], F.array(m)), moved))
+
+    def chunk(acc, part):
+        # The one-element array holds the folded chunk, so that it is worked out once.
+        folded = F.array(F.aggregate(part, state(none(kind), acc["far"]), step))
+        return F.get(F.transform(folded, lambda r: state(F.concat(acc["kept"], F.array(r["kept"])), r["far"])), F.lit(0))
 
-    kept = spans_of_text.select(*keys, F.aggregate("spans", zero, step, lambda acc: acc["kept"]).alias("kept"))
-    return kept.select(*keys, F.explode("kept").alias("s")).select(*keys, *[F.col(f"s.{c}").alias(c) for c in payload])
+    chunks = F.transform(
+        F.sequence(F.lit(0), ((F.size("spans") - 1) / FOLDED).cast("int")), lambda i: F.slice("spans", i * FOLDED + 1, FOLDED))
+    start = state(none(ArrayType(kind)), far(F.lit(-1), F.lit(None).cast("bigint"), F.lit(-1)))
+    kept = of_text.select(*keys, F.explode(F.flatten(F.aggregate(chunks, start, chunk, lambda acc: acc["kept"]))).alias("s"))
+    return kept.select(*keys, *[F.col(f"s.{c}").alias(c) for c in payload])
 
 
 SOURCE_ORDER = ["STRUCTURED_SCRAPER_FIELD", "TITLE", "DESCRIPTION", "SAFETY_INSTRUCTIONS", "RAW_TEXT"]
@@ -240,14 +292,14 @@ def derived_parents(kept: DataFrame, gaz: DataFrame) -> DataFrame:
 
 
 def extract(alerts: DataFrame, structured: DataFrame, words: DataFrame, gaz: DataFrame,
-            safety: Column | None = None) -> dict[str, DataFrame]:
+            safety: Column | None = None, probe: Probe | None = None) -> dict[str, DataFrame]:
     """The whole extraction: ``mentions`` (all), ``locations`` (kept, with
     collection and parents), ``ignored``, ``unresolved``."""
     fields = {"TITLE": F.col("title"), "DESCRIPTION": F.col("description")}
     if safety is not None:
         fields["SAFETY_INSTRUCTIONS"] = safety
     fields["RAW_TEXT"] = F.col("raw_text")
-    hits = scan(alert_texts(alerts, fields), words, ["id", "text_source"])
+    hits = scan(alert_texts(alerts, fields), words, ["id", "text_source"], probe=probe)
     named, unresolved = structured_mentions(structured, words, gaz)
     # The mention table is an output of its own; written once, the steps below
     # read it instead of scanning the texts again.

@@ -24,6 +24,7 @@ class Index:
     detail: DataFrame
     top: DataFrame
     district_names: DataFrame
+    probe: M.Probe | None = None
 
     @classmethod
     def build(cls, gaz: DataFrame, aliases: DataFrame) -> "Index":
@@ -36,8 +37,8 @@ class Index:
     def compiled(self) -> "Index":
         """The same tables written once to the shared folder, so that every
         scan reads a finished index instead of building it again."""
-        made = {f.name: write_and_read(getattr(self, f.name), f"index-{f.name}") for f in fields(self)}
-        return Index(**made)
+        made = {f.name: write_and_read(getattr(self, f.name), f"index-{f.name}") for f in fields(self) if f.name != "probe"}
+        return Index(**made, probe=M.Probe.of(made["words"]))
 
 
 def _result(district, city, province, pair, source, confidence, inferred, label, method) -> Column:
@@ -91,7 +92,7 @@ def resolve_structured(structured: DataFrame, ix: Index) -> DataFrame:
 
 
 def _hits(texts: DataFrame, ix: Index) -> DataFrame:
-    return M.scan(texts, ix.words, ["id"]).drop("entity_type").join(ix.detail, "numeric_id")
+    return M.scan(texts, ix.words, ["id"], probe=ix.probe).drop("entity_type").join(ix.detail, "numeric_id")
 
 
 ENTITY = ["numeric_id", "entity_type", "canonical_name", "district", "province", "district_id", "population", "latitude", "longitude"]

@@ -217,7 +217,7 @@ def phrase_words(spark, d):
     ph = view(spark, d, "phrases").selectExpr("pattern AS canonical_name", "CAST(numeric_id AS BIGINT) AS numeric_id", f"{kinds} AS entity_type", "CAST(NULL AS BIGINT) AS population")
     patterns = ph.select(text.fold(F.col("canonical_name")).alias("pattern"), "numeric_id").groupBy("pattern").agg(
         F.min("numeric_id").alias("numeric_id")).withColumn("method", F.lit(1))
-    return G.dictionary(patterns, ph)
+    return write_and_read(G.dictionary(patterns, ph), "phrases")
 
 
 @query("e4_scan_documents", PHRASE_HITS)
@@ -233,7 +233,7 @@ def _(spark, d):
 
 def scan_all(spark, d):
     fields = {"TITLE": F.col("title"), "DESCRIPTION": F.col("description"), "RAW_TEXT": F.col("raw_text")}
-    return M.scan(M.alert_texts(advisories(spark, d), fields), words(spark, d), ["id", "text_source"])
+    return M.scan(M.alert_texts(advisories(spark, d), fields), words(spark, d), ["id", "text_source"], probe=index(spark, d).probe)
 
 
 @query("e4_scan", f"SELECT id, text_source, start_at, end_at, matched_text, numeric_id, match_method FROM ({ADV_HITS}) h")
@@ -261,7 +261,7 @@ def _(spark, d):
 
 # ---- extraction ----------------------------------------------------------------------
 def extraction(spark, d):
-    return M.extract(advisories(spark, d), structured(spark, d), words(spark, d), gaz(spark, d))
+    return M.extract(advisories(spark, d), structured(spark, d), words(spark, d), gaz(spark, d), probe=index(spark, d).probe)
 
 
 def all_mentions(spark, d):

@@ -1,9 +1,9 @@
 """Structured Streaming jobs: landed files in, versioned tables out.
 
-State that an upsert needs lives in snapshot tables in the shared folder, one
-per batch id: a replayed batch overwrites its own output, and a hot key is
-handled by the same chunked plans as in batch. Watermarks only bound state;
-late rows still reach the upsert.
+State that an upsert needs lives in bucketed tables in the shared folder, with a
+version per batch id: a replayed batch overwrites its own output, only touched
+buckets are read and written, and a hot key is handled by the same chunked plans
+as in batch. Watermarks only bound state; late rows still reach the upsert.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from alertloom.functions import timeops
 from alertloom.operators import aggregates as A, identity as I, ingest as G, quality as Q
 from alertloom.operators.reports import change_feed
 from alertloom.session import new_folder
+from alertloom.streaming.store import BUCKET_ROWS, AlertStore, finished, hadoop
 
 
 def stream_documents(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", max_files: int = 100) -> DataFrame:
@@ -62,18 +63,9 @@ class SnapshotStore:
     def _path(self, version: int) -> str:
         return f"{self.folder}/version-{version:012d}"
 
-    def _hadoop(self, path: str):
-        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
-
     def versions(self) -> list[int]:
         """Finished versions, oldest first."""
-        files, folder = self._hadoop(self.folder)
-        if not files.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(folder)]
-        numbers = sorted(int(n.rpartition("-")[2]) for n in names if n.startswith("version-"))
-        return [n for n in numbers if files.exists(self._hadoop(f"{self._path(n)}/_SUCCESS")[1])]
+        return finished(self.spark, self.folder, "version")
 
     def last(self) -> int | None:
         return max(self.versions(), default=None)
@@ -85,7 +77,7 @@ class SnapshotStore:
         df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._path(batch_id + 1))
         for old in self.versions():
             if old < batch_id:
-                files, path = self._hadoop(self._path(old))
+                files, path = hadoop(self.spark, self._path(old))
                 files.delete(path, True)
 
     def after(self, batch_id: int) -> DataFrame:
@@ -96,16 +88,17 @@ class SnapshotStore:
 
 
 class UpsertJob:
-    """Versioned upsert per micro-batch: snapshot, actions, revisions, changes.
+    """Versioned upsert per micro-batch: alerts, actions, revisions, changes.
 
-    A second job on the same folder continues the first: snapshots, tables and
-    the stream's own checkpoint all lie below it.
+    A second job on the same folder continues the first: the store, its tables
+    and the stream's own checkpoint all lie below it.
     """
 
-    def __init__(self, spark: SparkSession, initial: DataFrame, folder: str | None = None):
+    def __init__(self, spark: SparkSession, initial: DataFrame, folder: str | None = None, bucket_rows: int = BUCKET_ROWS):
         self.spark = spark
         self.folder = folder or new_folder(spark, "upsert")
-        self.store = SnapshotStore(spark, f"{self.folder}/alerts", initial)
+        self.tables = AlertStore(spark, self.folder, initial, bucket_rows=bucket_rows)
+        self.store = self.tables.alerts
 
     @property
     def checkpoint(self) -> str:
@@ -116,16 +109,17 @@ class UpsertJob:
         return self.store.last() - 1
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        current = self.store.before(batch_id)
         staged = f"{self.folder}/staged/batch={batch_id}"
         batch.write.mode("overwrite").parquet(staged)  # read several times below
         batch = self.spark.read.parquet(staged)
+        touched = self.tables.touched(batch_id, batch)
+        current = self.tables.before(batch_id, touched)["alerts"]
         marks = f"{self.folder}/actions/batch={batch_id}"
         I.classify(batch, current).write.mode("overwrite").parquet(marks)
         classified = self.spark.read.parquet(marks)
         I.revisions(classified).write.mode("overwrite").parquet(f"{self.folder}/revisions/batch={batch_id}")
         change_feed(classified, batch).write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch_id}")
-        self.store.write(batch_id, I.apply_upsert(current, batch, classified))  # last: a finished version is a finished batch
+        self.tables.write(batch_id, touched, {"alerts": I.apply_upsert(current, batch, classified)})
 
     def table(self, name: str) -> DataFrame:
         """actions, revisions or changes over all batches."""
@@ -204,33 +198,63 @@ def stream_health(polls: DataFrame, folder: str | None = None) -> DataFrame:
     return Q.source_health(store.newest())
 
 
-def stream_summary(stream: DataFrame, initial: DataFrame, locations: DataFrame, sources: DataFrame) -> DataFrame:
-    """Upsert plus the summary row, refreshed every trigger."""
-    spark = stream.sparkSession
-    job, folder = UpsertJob(spark, initial), new_folder(spark, "summary")
+class SummaryJob(UpsertJob):
+    """Upsert plus the summary row after every trigger, kept up and not counted anew.
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        job(batch, batch_id)
-        now = job.store.after(batch_id)
-        if "updated_at" not in now.columns:
-            now = now.withColumn("updated_at", F.lit(None).cast("timestamp"))
-        A.summary_metrics(now, locations, sources).write.mode("overwrite").parquet(folder)
+    Counts are kept per bucket of the store; a trigger counts the buckets that
+    it wrote, and these replace their rows, which takes back what the changed
+    alerts stood for before. Districts grow by those of the created alerts.
+    """
 
-    run_available(stream, each, checkpoint=job.checkpoint)
-    return spark.read.parquet(folder)
+    def __init__(self, spark: SparkSession, initial: DataFrame, locations: DataFrame, sources: DataFrame, folder: str | None = None,
+                 bucket_rows: int = BUCKET_ROWS):
+        super().__init__(spark, initial, folder, bucket_rows)
+        self.locations, self.sources = locations, sources
+        self.counts = SnapshotStore(spark, f"{self.folder}/counts", self._counted(self.store.last(), None))
+        ids = self.snapshot().select(F.col("id").alias("alert_id"))
+        self.districts = SnapshotStore(spark, f"{self.folder}/districts", A.districts_of(locations, ids))
+
+    def _counted(self, version: int, written: int | None) -> DataFrame:
+        """Counts per bucket of a version of the store, of all buckets or of those that one version wrote."""
+        rows = self.store.manifest(version)
+        buckets = [r["bucket"] for r in rows if written is None or r["version"] == written]
+        alerts = self.store.read(version, buckets)
+        if "updated_at" not in alerts.columns:
+            alerts = alerts.withColumn("updated_at", F.lit(None).cast("timestamp"))
+        return A.alert_counts(alerts.withColumn("bucket", self.store.bucket(F.col("id"), rows[0]["buckets"])), "bucket")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        super().__call__(batch, batch_id)
+        version = batch_id + 1
+        new = self._counted(version, version)
+        touched = self.spark.createDataFrame([(r["bucket"],) for r in self.store.manifest(version) if r["version"] == version], "bucket int")
+        self.counts.write(batch_id, self.counts.before(batch_id).join(touched, "bucket", "left_anti").unionByName(new))
+        created = self.spark.read.parquet(f"{self.folder}/actions/batch={batch_id}").filter("action = 'created'").select("alert_id")
+        self.districts.write(batch_id, self.districts.before(batch_id).unionByName(A.districts_of(self.locations, created)).distinct())
+        self.summary().write.mode("overwrite").parquet(f"{self.folder}/summary/batch={batch_id}")
+
+    def summary(self) -> DataFrame:
+        return A.summary_row(self.counts.newest(), self.districts.newest(), self.sources)
+
+
+def stream_summary(stream: DataFrame, initial: DataFrame, locations: DataFrame, sources: DataFrame, folder: str | None = None) -> DataFrame:
+    """The summary row after all landed rows."""
+    job = SummaryJob(stream.sparkSession, initial, locations, sources, folder)
+    run_available(stream, job, checkpoint=job.checkpoint)
+    return job.summary()
 
 
 class IngestJob:
     """The whole ingest per micro-batch, children and resolutions included.
 
-    The alerts table is written last: its last finished version says how far
-    the job came. A second job on the same folder continues the first.
+    A second job on the same folder continues the first.
     """
 
-    def __init__(self, spark: SparkSession, ix, folder: str | None = None):
+    def __init__(self, spark: SparkSession, ix, folder: str | None = None, bucket_rows: int = BUCKET_ROWS):
         self.spark, self.ix = spark, ix
         self.folder = folder or new_folder(spark, "ingest")
-        self.stores = {name: SnapshotStore(spark, f"{self.folder}/{name}", df) for name, df in G.empty_store(spark).items()}
+        empty = G.empty_store(spark)
+        self.tables = AlertStore(spark, self.folder, empty.pop("alerts"), empty, bucket_rows)
 
     @property
     def checkpoint(self) -> str:
@@ -239,14 +263,16 @@ class IngestJob:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         staged = f"{self.folder}/staged/batch={batch_id}"
         batch.write.mode("overwrite").parquet(staged)
-        out = G.ingest(self.spark.read.parquet(staged), {n: s.before(batch_id) for n, s in self.stores.items()}, self.ix)
+        made = G.prepare(self.spark.read.parquet(staged), self.ix)
+        touched = self.tables.touched(batch_id, made["alerts"])
+        out = G.merge(made, self.tables.before(batch_id, touched))
         for name in ("actions", "revisions", "changes"):
             out[name].write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
-        for name in G.STORE:
-            self.stores[name].write(batch_id, out[name])
+        self.tables.write(batch_id, touched, out)
 
     def snapshot(self, name: str = "alerts") -> DataFrame:
-        return self.stores[name].after(self.stores["alerts"].last() - 1)
+        table = self.tables.alerts if name == "alerts" else self.tables.children[name]
+        return table.read(self.tables.alerts.last())
 
 
 def stream_ingest(stream: DataFrame, ix, folder: str | None = None) -> IngestJob:

@@ -459,8 +459,13 @@ def test_backfill_dry_run_only_counts(spark, ix):
     store["resolutions"] = store["resolutions"].limit(0)
     out = ING.backfill(store, ix, dry_run=True)
     assert list(out) == ["counts"] and out["counts"].first().processed == 2
-    again = ING.backfill(store, ix)
+    again = ING.backfill(store, ix, named_only=True)
     assert sorted(map(str, again["locations"].collect())) == sorted(map(str, made["locations"].collect()))
+    # Without it every stored location comes back as a structured one, with the evidence of that.
+    whole = ING.backfill(store, ix)["locations"].collect()
+    place = lambda r: (r.alert_id, r.location_id)
+    assert sorted(map(place, whole)) == sorted(map(place, made["locations"].collect()))
+    assert {(r.text_source, r.evidence_score) for r in whole} == {("STRUCTURED_SCRAPER_FIELD", 100)}
 
 
 def test_weather_feed_is_normalised(spark):
