@@ -10,8 +10,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from alertloom.llm.quality import quality_scores
 from tests.llm.test_decontaminate import words
+from tests.llm.test_jaccard import kept as kept_of
 from tests.llm.test_lines import brute as brute_lines
-from tests.llm.test_simhash import roots_of, slow_print
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,14 +35,8 @@ def test_stages_against_plain_versions(spark):
     assert second.columns == columns and {d: r.text for d, r in got.items()} == texts
     assert all(r.n_chars == len(r.text) and (r.lang, r.source) == (rows[d].lang, rows[d].source) for d, r in got.items())
 
-    prints = {d: slow_print(t) for d, t in texts.items()}
-    distinct = sorted(set(prints.values()))
-    root = roots_of(distinct, [(a, b) for a in distinct for b in distinct if a < b and (a ^ b).bit_count() <= 4])
-    groups = defaultdict(list)
-    for d, p in prints.items():
-        groups[root[p]].append(d)
     third = steps["simhash_near_dedup"](spark, second, FOLDER)
-    kept = {min(g) for g in groups.values()}
+    kept = set(kept_of(list(texts.items())))
     assert third.columns == columns and sorted(third.collect()) == sorted(got[d] for d in kept) and len(kept) < len(good)
 
     windows = set()
