@@ -349,11 +349,13 @@ def _(spark, d):
     return I.backfill_counts(keyed, J.needs_resolution(keyed, view(spark, d, "resolutions")))
 
 
-@query("i6_backfilled_locations", f"SELECT h.id, count(*) AS hits FROM ({hits('SELECT id, title AS text FROM advisories WHERE id IN (SELECT a.id FROM alerts a WHERE NOT EXISTS (SELECT 1 FROM resolutions r WHERE r.alert_id = a.id))', 'id')}) h GROUP BY h.id")
+@query("i6_backfilled_locations", f"SELECT h.id, count(*) AS hits FROM ({ADV_HITS}) h WHERE h.id IN (SELECT a.id FROM alerts a WHERE NOT EXISTS (SELECT 1 FROM resolutions r WHERE r.alert_id = a.id)) GROUP BY h.id")
 def _(spark, d):
     done = view(spark, d, "resolutions").select(F.col("alert_id").alias("id"))
     stale = advisories(spark, d).join(done, "id", "left_anti")
-    return M.scan(stale.select("id", F.col("title").alias("text")), words(spark, d), ["id"]).groupBy("id").agg(F.count("*").alias("hits"))
+    fields = {"TITLE": F.col("title"), "DESCRIPTION": F.col("description"), "RAW_TEXT": F.col("raw_text")}
+    found = M.scan(M.alert_texts(stale, fields), words(spark, d), ["id", "text_source"], probe=index(spark, d).probe)
+    return found.groupBy("id").agg(F.count("*").alias("hits"))
 
 
 # ---- primary location -------------------------------------------------------------------
@@ -456,35 +458,38 @@ def _(spark, d):
     return R.best_river_candidate(R.river_candidates(advisories(spark, d), advisory_conditions(spark, d))).select("id", "kind", "district")
 
 
-# Stations name real districts; the gazetteer view holds NATION_n, so the check
-# renames every station district to the nation with its place in name order.
+# Stations name real districts; the gazetteer view holds NATION_n. Every real
+# district is one more district beside the nation with its place in name order.
 DISTRICT_ORDER = sorted({*K.STATION_DISTRICT.values(), *(x for v in K.RIVER_DISTRICTS.values() for x in v)})
+REAL_DISTRICTS = "(VALUES " + ", ".join(f"({i}, '{n}', 'NATION_{i % 25}')" for i, n in enumerate(DISTRICT_ORDER)) + ") AS rd(nth, name, nation)"
 
 
 def river_gaz(spark, d):
-    name = F.coalesce(*[F.when(F.col("canonical_name") == f"NATION_{i}", n) for i, n in enumerate(DISTRICT_ORDER[:25])], F.col("canonical_name"))
-    return gaz(spark, d).withColumn("canonical_name", F.when(F.col("entity_type") == "DISTRICT", name).otherwise(F.col("canonical_name")))
+    real = spark.sql(f"SELECT * FROM {REAL_DISTRICTS}")
+    beside = gaz(spark, d).filter("entity_type = 'DISTRICT'").join(real, F.col("canonical_name") == F.col("nation")).withColumns({
+        "numeric_id": F.col("numeric_id") + 1_000_000_000 + 1000 * F.col("nth"), "canonical_name": F.col("name"), "alias": F.lit(None).cast("string")})
+    return gaz(spark, d).unionByName(beside.drop("nth", "name", "nation"))
 
 
-RENAMED = "CASE g.canonical_name " + " ".join(f"WHEN 'NATION_{i}' THEN '{n}'" for i, n in enumerate(DISTRICT_ORDER[:25])) + " END"
+RS4 = f"""SELECT b.id, b.district, p.canonical_name AS province, CASE b.kind WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM (SELECT id, kind, district FROM ({RIVER_CANDS}) c QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank DESC, kind DESC, length(district), district DESC) = 1) b
+JOIN (SELECT rd.name AS n, province_id FROM gazetteer g JOIN {REAL_DISTRICTS} ON g.canonical_name = rd.nation WHERE entity_type = 'DISTRICT') d ON d.n = b.district JOIN gazetteer p ON p.numeric_id = d.province_id"""
 
 
-@query("rs4_resolve_river", f"""SELECT b.id, b.district, p.canonical_name AS province, CASE b.kind WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM (SELECT id, kind, district FROM ({RIVER_CANDS}) c QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank DESC, kind DESC, length(district), district DESC) = 1) b
-JOIN (SELECT {RENAMED} AS n, province_id FROM gazetteer g WHERE entity_type = 'DISTRICT') d ON d.n = b.district JOIN gazetteer p ON p.numeric_id = d.province_id""")
+@query("rs4_resolve_river", RS4)
 def _(spark, d):
     ix = R.Index.build(river_gaz(spark, d), aliases(spark, d))
     return R.resolve_river(advisories(spark, d), advisory_conditions(spark, d), ix).select("id", "district", "province", "confidence")
 
 
-RIVER_FREE = "SELECT id FROM advisories"
-
-
-@query("rs5_primary_location", f"""WITH r1 AS ({RS1}), r2 AS (SELECT * FROM ({RS2}) q), r3 AS (SELECT * FROM ({RS3}) q)
-SELECT a.id, coalesce(r1.method, r2.method, r3.method, 'NO_DETERMINISTIC_MATCH') AS method, CASE WHEN r1.id IS NOT NULL THEN r1.district WHEN r2.id IS NOT NULL THEN r2.district ELSE r3.district END AS district,
-CASE WHEN r1.id IS NOT NULL THEN r1.city WHEN r2.id IS NOT NULL THEN r2.city ELSE r3.city END AS city FROM advisories a LEFT JOIN r1 ON r1.id = a.id LEFT JOIN r2 ON r2.id = a.id LEFT JOIN r3 ON r3.id = a.id""")
+@query("rs5_primary_location", f"""WITH r1 AS ({RS1}), r2 AS (SELECT * FROM ({RS2}) q), r3 AS (SELECT * FROM ({RS3}) q), r4 AS (SELECT * FROM ({RS4}) q)
+SELECT a.id, coalesce(r1.method, r2.method, r3.method, CASE WHEN r4.id IS NOT NULL THEN 'RIVER_STATION_MAPPING' END, 'NO_DETERMINISTIC_MATCH') AS method,
+CASE WHEN r1.id IS NOT NULL THEN r1.district WHEN r2.id IS NOT NULL THEN r2.district WHEN r3.id IS NOT NULL THEN r3.district ELSE r4.district END AS district,
+CASE WHEN r1.id IS NOT NULL THEN r1.city WHEN r2.id IS NOT NULL THEN r2.city WHEN r3.id IS NOT NULL THEN r3.city END AS city
+FROM advisories a LEFT JOIN r1 ON r1.id = a.id LEFT JOIN r2 ON r2.id = a.id LEFT JOIN r3 ON r3.id = a.id LEFT JOIN r4 ON r4.id = a.id""")
 def _(spark, d):
-    out = R.primary_location(advisories(spark, d), structured(spark, d), advisory_conditions(spark, d), index(spark, d))
-    return out.select("id", "method", "district", "city")
+    ix = R.Index.build(river_gaz(spark, d), aliases(spark, d)).compiled()
+    out = R.primary_location(advisories(spark, d), structured(spark, d), advisory_conditions(spark, d), ix)
+    return out.select("id", F.regexp_replace("method", "^(RIVER_STATION_MAPPING):.*", "$1").alias("method"), "district", "city")
 
 
 # ---- ingest -----------------------------------------------------------------------------

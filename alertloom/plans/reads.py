@@ -609,11 +609,17 @@ def _(spark, d):
 REL = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 12:00:00')) / 1e6"
 
 
-@query("d5_relative_time", f"""SELECT event_id, CAST(CASE WHEN abs(floor({REL} / 86400 + 0.5)) >= 1 THEN floor({REL} / 86400 + 0.5) WHEN abs(floor({REL} / 3600 + 0.5)) >= 1 THEN floor({REL} / 3600 + 0.5) ELSE floor({REL} / 60 + 0.5) END AS BIGINT) AS amount,
-CASE WHEN abs(floor({REL} / 86400 + 0.5)) >= 1 THEN 'day' WHEN abs(floor({REL} / 3600 + 0.5)) >= 1 THEN 'hour' ELSE 'minute' END AS unit FROM events""")
+REL_AMOUNT = f"CAST(CASE WHEN abs(floor({REL} / 86400 + 0.5)) >= 1 THEN floor({REL} / 86400 + 0.5) WHEN abs(floor({REL} / 3600 + 0.5)) >= 1 THEN floor({REL} / 3600 + 0.5) ELSE floor({REL} / 60 + 0.5) END AS BIGINT)"
+REL_UNIT = f"CASE WHEN abs(floor({REL} / 86400 + 0.5)) >= 1 THEN 'day' WHEN abs(floor({REL} / 3600 + 0.5)) >= 1 THEN 'hour' ELSE 'minute' END"
+
+
+@query("d5_relative_time", f"""SELECT event_id, amount, unit, CASE WHEN unit = 'day' AND amount = 1 THEN 'tomorrow' WHEN unit = 'day' AND amount = -1 THEN 'yesterday'
+WHEN unit = 'minute' AND amount = 0 THEN 'this minute' WHEN amount > 0 THEN 'in ' || amount || ' ' || unit || CASE WHEN amount = 1 THEN '' ELSE 's' END
+ELSE -amount || ' ' || unit || CASE WHEN amount = -1 THEN '' ELSE 's' END || ' ago' END AS phrase FROM (SELECT event_id, {REL_AMOUNT} AS amount, {REL_UNIT} AS unit FROM events) e""")
 def _(spark, d):
     amount, unit = timeops.relative_time(F.col("ts").cast("timestamp"), timeops.as_of_column("2024-01-15 12:00:00"))
-    return view(spark, d, "events").select("event_id", amount.alias("amount"), unit.alias("unit"))
+    rows = view(spark, d, "events").select("event_id", amount.alias("amount"), unit.alias("unit"))
+    return rows.withColumn("phrase", timeops.relative_phrase(F.col("amount"), F.col("unit")))
 
 
 @query("d6_backfill_effective", f"SELECT id, {O.ts('coalesce(effective_event_at, issued_at, starts_at, created_at)')} AS effective_event_at FROM alerts")

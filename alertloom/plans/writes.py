@@ -78,13 +78,13 @@ CAST(NULL AS TIMESTAMP) AS starts_at, CAST(NULL AS TIMESTAMP) AS expires_at, 'hi
 
 
 @query("k1_content_hash", f"""SELECT a.id, min(b.id) AS same_as FROM (SELECT x.id, (source_id, source_alert_id, lower(trim(title)), id % 3 = 2, coalesce(locs, [])) AS k FROM ({K1_IN}) x
-LEFT JOIN (SELECT alert_id, list_sort(list(DISTINCT lower(province))) AS locs FROM alert_locations GROUP BY alert_id) l ON l.alert_id = x.id) a
+LEFT JOIN (SELECT alert_id, list_sort(list(DISTINCT trim(lower(concat_ws('-', coalesce(province, 'None'), coalesce(district, 'None'), coalesce(city, 'None'), coalesce(raw_location, 'None')))))) AS locs FROM alert_locations GROUP BY alert_id) l ON l.alert_id = x.id) a
 JOIN (SELECT x.id, (source_id, source_alert_id, lower(trim(title)), id % 3 = 2, coalesce(locs, [])) AS k FROM ({K1_IN}) x
-LEFT JOIN (SELECT alert_id, list_sort(list(DISTINCT lower(province))) AS locs FROM alert_locations GROUP BY alert_id) l ON l.alert_id = x.id) b ON a.k = b.k GROUP BY a.id""")
+LEFT JOIN (SELECT alert_id, list_sort(list(DISTINCT trim(lower(concat_ws('-', coalesce(province, 'None'), coalesce(district, 'None'), coalesce(city, 'None'), coalesce(raw_location, 'None')))))) AS locs FROM alert_locations GROUP BY alert_id) l ON l.alert_id = x.id) b ON a.k = b.k GROUP BY a.id""")
 def _(spark, d):
     rows = spark.sql(K1_IN.replace("FROM alerts", "FROM {alerts}"), alerts=view(spark, d, "alerts"))
-    places = view(spark, d, "alert_locations").select("alert_id", "province").distinct().selectExpr(
-        "alert_id AS id", "province", "NULL AS district", "NULL AS city", "NULL AS raw_location")
+    places = view(spark, d, "alert_locations").select(
+        F.col("alert_id").alias("id"), "province", "district", "city", "raw_location").distinct()
     hashed = rows.join(hashing.location_digest(places, "id"), "id", "left").select(
         "id", hashing.content_hash(F.col("location_digest")).alias("h"))
     first = hashed.groupBy("h").agg(F.min("id").alias("same_as"))

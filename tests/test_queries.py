@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry_module
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SELECTION = [
     "f8_admin_filter", "c1_valid_country", "j4_nearest_location", "j5_within_radius", "j14_geoip_join", "q1_active_alerts", "q3_map_alerts",
     "q4_nearby_alerts", "q4_nearby_for_viewers", "a2_summary_metrics", "a12_tile_clusters", "x4_normalize_alert", "x11_report_filename",
