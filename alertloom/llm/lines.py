@@ -44,16 +44,20 @@ def _chunks(full: Column) -> Column:
     return decides, windows, bounds, chunks
 
 
-def _lined(docs: DataFrame, more: list[str]) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
+def _marked(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns with the keys of a row: its doc_id, and a hash of its text."""
     return docs.select(
-        *more, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id_key__"), F.xxhash64(text).alias("text_key__"),
-        F.split(text, "\n", -1).alias("lines__"))
+        *columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id_key__"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key__"))
+
+
+def _lines() -> Column:
+    return F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(id_key__, text_key__, start, stop, key) of all chunks; a key is 16 bytes a line."""
-    lined = _lined(docs, [])
+    lined = _marked(docs, ["text"]).withColumn("lines__", _lines())
     full = F.filter(F.transform("lines__", lambda x, i: F.struct(
         i.alias("i"), F.when(F.translate(x, BLANK, "") != "", F.md5(x.cast("binary"))).alias("digest"))), lambda x: x["digest"].isNotNull())
     rows = lined.withColumn("full__", full)
@@ -84,7 +88,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     doc_id and its text get the same result and don't remove each other; a
     document may lose all its lines, and an empty table gives no rows.
     """
-    marked = write_and_read(_lined(docs, docs.columns).join(repeated_chunks(docs), ["id_key__", "text_key__"], "left"), "lined")
+    # Lines are cut again after the join, which then moves every text once.
+    marked = write_and_read(_marked(docs, docs.columns).join(repeated_chunks(docs), ["id_key__", "text_key__"], "left"), "marked")
+    marked = marked.withColumn("lines__", _lines())
     none = lambda t: F.array().cast(f"array<{t}>")
     # Bytes are compared line by line, in lines of repeated chunks alone: a digest of two different lines clears its chunks.
     inside = F.array_distinct(F.flatten(F.transform("seen__", lambda c: F.sequence(c["start"], c["stop"] - 1))))
