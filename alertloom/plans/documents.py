@@ -133,10 +133,15 @@ def _(spark, d):
     return rows.select("doc_id", "r.river", "r.station", "r.forecast_level", "r.trend", "r.current_inflow", "r.current_outflow")
 
 
+# Without a warning section the hydrology text runs on to the end of the document.
+RUN_ON = f"""'|III: WEATHER FORECAST FOR 24-HOURS Rain of ' || (doc_id % 90) || ' mm over the upper catchment.|IV: WEATHER OUTLOOK FOR NEXT 48-HOURS Wet spell ' || doc_id || ' goes on. 4.|QUANTITATIVE FLOOD FORECAST OF GAUGING STATIONS RIVERS Stations Actual Observations at 0600 PST Max Flood Peaks Season 2026 INDUS Chashma '
+|| (doc_id % 500) || '.5 302.25 310 F 270 ' || {level(1)} || ' 1038.9 EH (2010) 313.8 CHENAB Trimmu 94.7 81.3 100 R 140 Low to Medium 944.3 EH (1928) 94.7 SUTLEJ Sulemanki 16.9 6.3 No sig. change Below Low 598.9 EH (1955) 19.1 Spatial: Isolated=20 to 30% of area'"""
+
+
 @query("b7_sentences", f"""SELECT doc_id, 'River Chenab at Khanki and Qadirabad is in ' || {level(2)} || ' flood level.|' || CASE WHEN doc_id % 2 = 0 THEN 'River Ravi at Balloki and River Kabul at Warsak are in ' || {level(4)} || ' flood level.' ELSE 'Other rivers flow normally.' END
-|| '|River Indus at Tarbela is ' || CASE doc_id % 3 WHEN 0 THEN 'rising.' WHEN 1 THEN 'falling.' ELSE 'steady.' END AS summary FROM {DOCS} WHERE doc_id % 5 <> 4""")
+|| '|River Indus at Tarbela is ' || CASE doc_id % 3 WHEN 0 THEN 'rising.' WHEN 1 THEN 'falling.' ELSE 'steady.' END || CASE WHEN doc_id % 5 = 4 THEN {RUN_ON} ELSE '' END AS summary FROM {DOCS}""")
 def _(spark, d):
-    parts = B.sections(rendered(spark, d)).filter(B.is_bulletin(F.col("__t"))).filter("doc_id % 5 <> 4")
+    parts = B.sections(rendered(spark, d)).filter(B.is_bulletin(F.col("__t")))
     return parts.select("doc_id", F.array_join(B.sentences(F.col("__hydro")), "|").alias("summary"))
 
 
