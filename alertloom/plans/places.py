@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from alertloom import constants as K
@@ -105,10 +107,13 @@ ADV_HITS = hits(ADV_TEXTS, "id,text_source")
 LOOKUP = f"""SELECT s.id, s.raw_location, w.numeric_id, w.entity_type FROM (SELECT id, raw_location, {loc_name('raw_location')} AS k FROM advisories WHERE raw_location IS NOT NULL) s LEFT JOIN ({best_of('')}) w ON w.pattern = s.k"""
 MENTIONS = f"""SELECT id, 'STRUCTURED_SCRAPER_FIELD' AS text_source, 0 AS start_at, length(raw_location) AS end_at, raw_location AS matched_text, l.numeric_id, l.entity_type,
 CASE WHEN {loc_name('g.canonical_name')} = lower(trim(raw_location)) THEN 'EXACT_CANONICAL' ELSE 'NORMALISED_EXACT' END AS match_method, 100 AS evidence_score, 0 AS so FROM ({LOOKUP}) l JOIN gazetteer g ON g.numeric_id = l.numeric_id
-UNION ALL SELECT *, CASE text_source WHEN 'TITLE' THEN 80 WHEN 'DESCRIPTION' THEN 60 ELSE 20 END, CASE text_source WHEN 'TITLE' THEN 1 WHEN 'DESCRIPTION' THEN 2 ELSE 4 END FROM ({ADV_HITS}) h"""
+UNION ALL SELECT *, CASE text_source WHEN 'TITLE' THEN 80 WHEN 'DESCRIPTION' THEN 60 WHEN 'SAFETY_INSTRUCTIONS' THEN 40 ELSE 20 END, CASE text_source WHEN 'TITLE' THEN 1 WHEN 'DESCRIPTION' THEN 2 WHEN 'SAFETY_INSTRUCTIONS' THEN 3 ELSE 4 END FROM ({ADV_HITS}) h"""
 BEST = f"SELECT *, min(so * 1000000 + start_at) OVER (PARTITION BY id, numeric_id) AS first_seen FROM ({MENTIONS}) m QUALIFY row_number() OVER (PARTITION BY id, numeric_id ORDER BY evidence_score DESC, so, start_at, end_at DESC) = 1"
 COLLECTION = "CASE WHEN entity_type IN ('CITY','TOWN','VILLAGE','LOCALITY') THEN 'cities' WHEN entity_type = 'TEHSIL' THEN 'tehsils' WHEN entity_type = 'DISTRICT' THEN 'districts' ELSE 'provinces' END"
 KEPT = f"SELECT b.*, {COLLECTION} AS collection FROM ({BEST}) b"
+# The extraction with safety advice as fourth text: every advisory that names a place warns of it.
+SAFE_HITS = hits(ADV_TEXTS + " UNION ALL SELECT id, 'SAFETY_INSTRUCTIONS', 'Leave low ground near ' || raw_location || ' district' FROM advisories WHERE raw_location IS NOT NULL", "id,text_source")
+SAFE_KEPT = KEPT.replace(ADV_HITS, SAFE_HITS)
 DERIVED = f"""SELECT k.id, p.parent AS numeric_id, k.matched_text, k.text_source, k.numeric_id AS child FROM kept k JOIN (SELECT numeric_id, district_id AS parent FROM gazetteer UNION ALL SELECT numeric_id, province_id FROM gazetteer) p ON p.numeric_id = k.numeric_id
 WHERE k.collection IN ('cities', 'tehsils') AND p.parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kept e WHERE e.id = k.id AND e.numeric_id = p.parent AND e.collection IN ('districts','provinces'))
 QUALIFY row_number() OVER (PARTITION BY k.id, p.parent ORDER BY k.collection, k.first_seen) = 1"""
@@ -261,7 +266,8 @@ def _(spark, d):
 
 # ---- extraction ----------------------------------------------------------------------
 def extraction(spark, d):
-    return M.extract(advisories(spark, d), structured(spark, d), words(spark, d), gaz(spark, d), probe=index(spark, d).probe)
+    safety = F.concat(F.lit("Leave low ground near "), F.col("raw_location"), F.lit(" district"))
+    return M.extract(advisories(spark, d), structured(spark, d), words(spark, d), gaz(spark, d), safety, index(spark, d).probe)
 
 
 def all_mentions(spark, d):
@@ -300,13 +306,13 @@ def _(spark, d):
     return M.derived_parents(kept, gaz(spark, d)).select("id", "numeric_id", "matched_text", "text_source", "match_method")
 
 
-@query("e5_extract", f"""WITH kept AS MATERIALIZED ({KEPT}) SELECT e.id, g.location_id, g.canonical_name, e.collection, e.derived_from FROM (SELECT id, numeric_id, collection, NULL AS derived_from FROM kept
-UNION ALL SELECT x.id, x.numeric_id, CASE WHEN p.entity_type = 'DISTRICT' THEN 'districts' ELSE 'provinces' END, c.location_id FROM ({DERIVED}) x JOIN gazetteer p ON p.numeric_id = x.numeric_id JOIN gazetteer c ON c.numeric_id = x.child) e JOIN gazetteer g ON g.numeric_id = e.numeric_id""")
+@query("e5_extract", f"""WITH kept AS MATERIALIZED ({SAFE_KEPT}) SELECT e.id, g.location_id, g.canonical_name, e.collection, e.derived_from, e.text_source FROM (SELECT id, numeric_id, collection, NULL AS derived_from, text_source FROM kept
+UNION ALL SELECT x.id, x.numeric_id, CASE WHEN p.entity_type = 'DISTRICT' THEN 'districts' ELSE 'provinces' END, c.location_id, x.text_source FROM ({DERIVED}) x JOIN gazetteer p ON p.numeric_id = x.numeric_id JOIN gazetteer c ON c.numeric_id = x.child) e JOIN gazetteer g ON g.numeric_id = e.numeric_id""")
 def _(spark, d):
-    return extraction(spark, d)["locations"].select("id", "location_id", "canonical_name", "collection", "derived_from")
+    return extraction(spark, d)["locations"].select("id", "location_id", "canonical_name", "collection", "derived_from", "text_source")
 
 
-@query("e7_extract_step", f"""WITH kept AS MATERIALIZED ({KEPT}), e AS (SELECT id, numeric_id, matched_text FROM kept UNION ALL SELECT id, numeric_id, matched_text FROM ({DERIVED}) x)
+@query("e7_extract_step", f"""WITH kept AS MATERIALIZED ({SAFE_KEPT}), e AS (SELECT id, numeric_id, matched_text FROM kept UNION ALL SELECT id, numeric_id, matched_text FROM ({DERIVED}) x)
 SELECT e.id AS alert_id, g.location_id, coalesce(p.canonical_name, CASE WHEN g.entity_type = 'PROVINCE' THEN g.canonical_name END) AS province, coalesce(dd.canonical_name, CASE WHEN g.entity_type = 'DISTRICT' THEN g.canonical_name END) AS district,
 CASE WHEN g.entity_type IN ('CITY','TOWN','VILLAGE') THEN g.canonical_name END AS city, e.matched_text AS raw_location FROM e JOIN gazetteer g ON g.numeric_id = e.numeric_id LEFT JOIN gazetteer p ON p.numeric_id = g.province_id LEFT JOIN gazetteer dd ON dd.numeric_id = g.district_id""")
 def _(spark, d):
@@ -419,11 +425,25 @@ def _(spark, d):
 NAMED_CAND = f"SELECT c.*, g.canonical_name AS d_name FROM ({CANDS}) c JOIN gazetteer g ON g.numeric_id = c.cand_id"
 
 
-@query("w3_winning_district", f"SELECT id, cand_id FROM ({NAMED_CAND}) n QUALIFY row_number() OVER (PARTITION BY id ORDER BY city_count > 0 DESC, mention_count DESC, length(d_name), d_name DESC, first_start) = 1")
+# Stations name real districts; the gazetteer view holds NATION_n. Every real
+# district is one more district beside the nation with its place in name order.
+DISTRICT_ORDER = sorted({*K.STATION_DISTRICT.values(), *(x for v in K.RIVER_DISTRICTS.values() for x in v)})
+REAL_DISTRICTS = "(VALUES " + ", ".join(f"({i}, '{n}', 'NATION_{i % 25}')" for i, n in enumerate(DISTRICT_ORDER)) + ") AS rd(nth, name, nation)"
+
+
+SEVERITY = f"""SELECT c.id, g.numeric_id AS cand_id, max(c.rank) AS severity FROM (SELECT id, lower(station) AS station, CASE lower(trim(level)) WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'very high' THEN 4 WHEN 'exceptionally high' THEN 5 ELSE 0 END AS rank FROM ({COND_IN}) i) c
+JOIN {STATION_VALUES} ON st.station = c.station JOIN {REAL_DISTRICTS} ON rd.name = st.district JOIN gazetteer g ON g.canonical_name = rd.nation AND g.entity_type = 'DISTRICT' WHERE c.rank > 0 GROUP BY 1, 2"""
+
+
+@query("w3_winning_district", f"SELECT n.id, n.cand_id, coalesce(severity, 0) AS severity_rank FROM ({NAMED_CAND}) n LEFT JOIN ({SEVERITY}) v ON v.id = n.id AND v.cand_id = n.cand_id QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY city_count > 0 DESC, coalesce(severity, 0) DESC, mention_count DESC, length(d_name), d_name DESC, first_start) = 1")
 def _(spark, d):
+    """Station districts stand for the nation of their place in name order, which the texts do name."""
     ix = index(spark, d)
+    nations = gaz(spark, d).filter("entity_type = 'DISTRICT'").select(F.col("canonical_name").alias("nation"), F.col("numeric_id").alias("district_id"))
+    real = spark.sql(f"SELECT * FROM {REAL_DISTRICTS}").join(nations, "nation").select(text.location_name(F.col("name")).alias("d_key"), "district_id")
+    ix = replace(ix, district_names=ix.district_names.unionByName(real))
     cands = R.district_candidates(R._hits(R.body(advisories(spark, d)), ix), ix)
-    return R.winning_district(cands, R.station_ranks(advisory_conditions(spark, d), ix), ix).select("id", "cand_id")
+    return R.winning_district(cands, R.station_ranks(advisory_conditions(spark, d), ix), ix).select("id", "cand_id", "severity_rank")
 
 
 RS3 = f"""WITH h AS MATERIALIZED (SELECT x.id, x.start_at, e.* FROM ({BODY_HITS}) x JOIN ({DETAIL}) e ON e.numeric_id = x.numeric_id),
@@ -458,12 +478,6 @@ def _(spark, d):
     return R.best_river_candidate(R.river_candidates(advisories(spark, d), advisory_conditions(spark, d))).select("id", "kind", "district")
 
 
-# Stations name real districts; the gazetteer view holds NATION_n. Every real
-# district is one more district beside the nation with its place in name order.
-DISTRICT_ORDER = sorted({*K.STATION_DISTRICT.values(), *(x for v in K.RIVER_DISTRICTS.values() for x in v)})
-REAL_DISTRICTS = "(VALUES " + ", ".join(f"({i}, '{n}', 'NATION_{i % 25}')" for i, n in enumerate(DISTRICT_ORDER)) + ") AS rd(nth, name, nation)"
-
-
 def river_gaz(spark, d):
     real = spark.sql(f"SELECT * FROM {REAL_DISTRICTS}")
     beside = gaz(spark, d).filter("entity_type = 'DISTRICT'").join(real, F.col("canonical_name") == F.col("nation")).withColumns({
