@@ -19,6 +19,7 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 SAMPLE = 20_000  # labelled URLs that the fit sees at most
 TREES, DEPTH, STEP, SEED = 20, 3, 0.2, 11
 CUT = 0.5
+FOLDS = 5
 PRIOR = 20.0  # weight of the overall share in a suffix's share
 
 FEATURES = ["length", "host_length", "host_labels", "host_hyphens", "host_entropy", "depth", "path_length", "path_entropy", "digits", "symbols",
@@ -78,21 +79,31 @@ def with_suffix_share(pages: DataFrame, shares: DataFrame, overall: float) -> Da
     return pages.join(shares, "suffix", "left").fillna({"suffix_share": overall, "suffix_seen": 0.0})
 
 
+def _shares(ones: Column, seen: Column, overall: float) -> list[Column]:
+    return [((ones + PRIOR * overall) / (seen + PRIOR)).alias("suffix_share"), F.log1p(seen).alias("suffix_seen")]
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[GBTClassificationModel | None, DataFrame, float]:
     """Fits on ``labelled(url, host, path, y)``: the trees, the suffix shares and the share of y = 1.
 
     Suffix statistics count every labelled row; the trees see at most
-    ``sample`` of them, those of the smallest URL hashes. Without both labels
-    there are no trees.
+    ``sample`` of them, those of the smallest URL hashes. What a tree sees of a
+    row's suffix comes from other hosts alone: hosts are dealt into folds, and the
+    labels of the row's own fold are left out. Without both labels there are no
+    trees.
     """
-    own = labelled.withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
-    by_suffix = write_and_read(own.groupBy("suffix").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).cast("double").alias("suffix_seen")), "suffixes")
-    total = by_suffix.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("suffix_seen"), F.lit(0.0))).first()
+    own = labelled.withColumn("suffix", F.element_at(F.split("host", r"\."), -1)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
+    counted = [F.sum("y").alias("ones"), F.count(F.lit(1)).cast("double").alias("seen")]
+    by_fold = write_and_read(own.groupBy("suffix", "fold").agg(*counted), "suffixes")
+    by_suffix = by_fold.groupBy("suffix").agg(F.sum("ones").alias("ones"), F.sum("seen").alias("seen"))
+    total = by_fold.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0.0))).first()
     overall = float(total[0]) / total[1] if total[1] else 0.0
-    shares = by_suffix.select("suffix", ((F.col("ones") + PRIOR * overall) / (F.col("suffix_seen") + PRIOR)).alias("suffix_share"),
-                              F.log1p("suffix_seen").alias("suffix_seen"))
-    chosen = labelled.orderBy(F.xxhash64("url"), "url", "y").limit(sample)
-    rows = write_and_read(with_suffix_share(lexical(chosen), shares, overall).select(*FEATURES, F.col("y").cast("double").alias("y")), "labelled")
+    shares = by_suffix.select("suffix", *_shares(F.col("ones"), F.col("seen"), overall))
+    elsewhere = by_fold.join(by_suffix.select("suffix", F.col("ones").alias("all_ones"), F.col("seen").alias("all_seen")), "suffix").select(
+        "suffix", "fold", *_shares(F.col("all_ones") - F.col("ones"), F.col("all_seen") - F.col("seen"), overall))
+    chosen = own.orderBy(F.xxhash64("url"), "url", "y").limit(sample)
+    known = lexical(chosen.drop("suffix")).join(elsewhere, ["suffix", "fold"])
+    rows = write_and_read(known.select(*FEATURES, F.col("y").cast("double").alias("y")), "labelled")
     kinds = rows.agg(F.countDistinct("y")).first()[0]
     if kinds < 2:
         return None, shares, overall
@@ -101,6 +112,20 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[GBTClassificationM
     return model, shares, overall
 
 
+def probability(urls: DataFrame, model: GBTClassificationModel | None, shares: DataFrame, overall: float) -> DataFrame:
+    """Adds ``p``, the probability of y = 1, to rows with url, host and path."""
+    if model is None:
+        return urls.withColumn("p", F.lit(1.0 if overall > 0 else 0.0))
+    inputs = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_suffix_share(lexical(urls), shares, overall))
+    return model.transform(inputs).withColumn("p", vector_to_array("probability")[1])
+
+
+def held_out(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """url, y, p of one fold of hosts, scored by what the other hosts teach: no host is on both sides."""
+    out = F.pmod(F.xxhash64(F.lit("held out"), "host"), F.lit(FOLDS)) == 0
+    return probability(labelled.filter(out), *train(labelled.filter(~out), sample)).select("url", "y", "p")
+
+
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict, p_block for every page.
 
@@ -121,12 +146,6 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, labelled: DataFrame |
         known = ruled.filter("rule IS NOT NULL").select("url", "host", "path", (by_rule == "block").cast("int").alias("y"))
     else:
         known = labelled.select("url", host_of(url).alias("host"), path_of(url).alias("path"), F.col("y").cast("int").alias("y")).dropna(subset=["url", "y"])
-    model, shares, overall = train(known, sample)
-    if model is None:
-        p = F.lit(1.0 if overall > 0 else 0.0)
-        scored = ruled.withColumn("p", p)
-    else:
-        inputs = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_suffix_share(lexical(ruled), shares, overall))
-        scored = model.transform(inputs).withColumn("p", vector_to_array("probability")[1])
+    scored = probability(ruled, *train(known, sample))
     verdict = F.coalesce(by_rule, F.when(F.col("p") >= CUT, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), F.col("p")).alias("p_block"))
