@@ -7,6 +7,7 @@ and all test suffixes are binary-searched in it.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -221,11 +222,72 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, with all their columns, that hold no benchmark passage."""
+    """The documents, with all their columns, that hold no benchmark passage.
+
+    Null and empty texts hold none and stay, repeated rows share their fate, an
+    empty benchmark removes nothing and an empty table gives no rows.
+    """
     names = [c if c == "text" else f"c{i}__" for i, c in enumerate(docs.columns)]  # no clash with the new columns
     return find_matches(docs.toDF(*names), benchmark, window).filter(F.size("spans") == 0).select(*names).toDF(*docs.columns)
 
 
+def longest_in(doc: list[int], item: list[int], spans: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+    """(document word, item word, words) of the longest matches of ``least`` words and more that start in the spans.
+
+    Every document suffix is binary-searched in the item's suffix array; its two
+    neighbours there share most with it. What the match before it covers is left out.
+    """
+    order = suffix_array(np.array(item), len(item)).tolist()
+    out = []
+    for start, n in spans:
+        before = 0
+        for i in range(start, start + n):
+            tail = doc[i:i + len(item)]
+            at = bisect_left(order, tail, key=lambda j: item[j:])
+            best, place = 0, 0
+            for j in order[max(at - 1, 0):at + 1]:
+                same = 0
+                while same < len(tail) and j + same < len(item) and tail[same] == item[j + same]:
+                    same += 1
+                if same > best:
+                    best, place = same, j
+            if best >= least and best >= before:
+                out.append((i, place, best))
+            before = best
+    return out
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, item_id, doc_start, item_start, n_words: verbatim passages at their full length, with their places in both texts.
+
+    One row per document word at which a passage of ``window`` words or more (a
+    shorter item: all of it) of an item starts and does not just go on from the
+    word before; of equally long ones in an item one is named. Only documents and
+    items that share a window meet. Items without an id are left out; nulls,
+    empty texts and tables give no rows, repeated rows give theirs again.
+    """
+    found = find_matches(docs.select("doc_id", F.col("text")), benchmark, window).filter(F.size("items") > 0)
+    pairs = found.select("doc_id", "text", "spans", F.explode("items").alias("item_id")).join(
+        benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("item_text")), "item_id")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                item = words_of((r["item_text"] or "").encode())
+                number: dict[bytes, int] = {}
+                ids = [number.setdefault(w, len(number) + 1) for w in item]
+                doc = [number.get(w, 0) for w in words_of(r["text"].encode())]
+                spans = [(x["start"], x["words"]) for x in r["spans"]]
+                out += [(r["doc_id"], r["item_id"], *m) for m in longest_in(doc, ids, spans, min(window, len(ids)))]
+            columns = list(zip(*out)) or [()] * 5
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "doc_start", "item_start", "n_words"])
+
+    pairs = pairs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans", "item_id", "item_text")
+    return in_arrow(pairs, run, "doc_id long, item_id string, doc_start long, item_start long, n_words long")
+
+
 _WORDS_SQL = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
               r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 CONTAMINATION_SQL = f"""

@@ -212,7 +212,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns, that score at least ``threshold``."""
+    """The documents, with all their columns, that score at least ``threshold``.
+
+    A null text is scored as an empty one, repeated rows share their score, an
+    empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
 
     def run(batches):

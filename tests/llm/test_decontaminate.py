@@ -82,3 +82,40 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, " ".join(words_))], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(words_[:30]))], "item_id long, text string")
     assert contamination(docs, bench).first().n_hit == sum(1 for i in range(60000) if i % 50 < 30)
+
+
+def test_longest_matches_with_both_places(spark):
+    import random
+    from alertloom.llm.decontaminate import longest_matches
+    rng = random.Random(6)
+    items = [(f"i{k}", " ".join(rng.choice("abcdefgh") + str(rng.randrange(3)) for _ in range(rng.choice([4, 12, 40])))) for k in range(8)] + [("r", "x " * 30), (None, "z " * 12), ("n", None)]
+    rows = [(1, None), (2, ""), (3, "x " * 50), (3, "x " * 50)]
+    for k in range(60):
+        parts = []
+        for _ in range(3):
+            w = words(rng.choice(items[:8])[1])
+            a = rng.randrange(len(w))
+            parts += w[a:a + rng.choice([3, 9, 10, 30])] + [f"own{rng.randrange(99)}"] * rng.randint(0, 2)
+        rows.append((10 + k, " ".join(parts).upper()))
+
+    def slow(text, item):
+        d, t = words(text), words(item)
+        least, out, before = min(10, len(t)), [], 0
+        for i in range(len(d)):
+            best = 0
+            for j in range(len(t)):
+                n = 0
+                while i + n < len(d) and j + n < len(t) and d[i + n] == t[j + n]:
+                    n += 1
+                best = max(best, n)
+            if t and best >= least and best >= before:
+                out.append((i, best))
+            before = best
+        return out
+
+    got = longest_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    want = sorted((d, i, at, n) for d, t in rows for i, x in items if i for at, n in slow(t, x))
+    assert sorted((r.doc_id, r.item_id, r.doc_start, r.n_words) for r in got) == want and len(want) > 40
+    texts, tests = dict(rows), dict(items)
+    for r in got:
+        assert words(texts[r.doc_id])[r.doc_start:r.doc_start + r.n_words] == words(tests[r.item_id])[r.item_start:r.item_start + r.n_words]
