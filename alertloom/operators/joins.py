@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertloom import constants as K
 from alertloom.functions import geo, ip, text
@@ -126,30 +126,89 @@ def map_conditions(conditions: DataFrame) -> DataFrame:
     return by_station.unionByName(by_river)
 
 
-BLOCK = 65536
+ADDRESS_BITS = 32
+CHUNK_BITS = 16  # addresses meet segments in chunks of 65,536 addresses
+
+
+def _levels() -> Column:
+    return F.sequence(F.lit(0), F.lit(ADDRESS_BITS))
+
+
+def _shifted(value: Column, k: Column) -> Column:
+    return F.call_function("shiftright", value, k)
+
+
+def aligned_blocks(ranges: DataFrame) -> DataFrame:
+    """(k, prefix, place, rank): ranges as aligned blocks of 2^k addresses, two per
+    k at most, one for a plain prefix. Of equal blocks that of the best range stays:
+    the narrowest, then the later start.
+    """
+    one = F.lit(1).cast("bigint")
+
+    def level(k):
+        size = F.call_function("shiftleft", one, k)
+        lo, hi = _shifted(F.col("ip_start") + size - 1, k), _shifted(F.col("ip_end") + 1, k)
+        block = lambda odd, prefix: F.when((lo < hi) & (odd % 2 == 1), F.struct(k.alias("k"), prefix.alias("prefix")))
+        return F.array(block(lo, lo), block(hi, hi - 1))
+
+    rank = F.struct((F.col("ip_end") - F.col("ip_start")).alias("width"), (-F.col("ip_start")).alias("start"), "city", "lat", "lng")
+    rows = ranges.filter("ip_start <= ip_end").select(
+        F.explode(F.array_compact(F.flatten(F.transform(_levels(), level)))).alias("b"), F.struct("city", "lat", "lng").alias("place"), rank.alias("rank"))
+    return rows.groupBy("b.k", "b.prefix").agg(F.min_by("place", "rank").alias("place"), F.min("rank").alias("rank"))
+
+
+def ip_segments(ranges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(pos, place): the address space cut where the answer may change.
+
+    From ``pos`` to the next one every address has the place of the narrowest
+    range that holds it, or null where none does; ranges may overlap or nest. A cut is looked
+    up once in each block size, so the work is 33 narrow rows a cut and does not
+    depend on how wide ranges are. ``starts``: further positions to cut at.
+    """
+    blocks = aligned_blocks(ranges)
+    ends = F.array(F.col("prefix"), F.col("prefix") + 1)
+    cuts = blocks.select(F.explode(F.transform(ends, lambda p: F.call_function("shiftleft", p, F.col("k")))).alias("pos"))
+    if starts is not None:
+        cuts = cuts.unionByName(starts.select("pos"))
+    cuts = cuts.distinct()
+    around = cuts.select("pos", F.explode(F.transform(_levels(), lambda k: F.struct(k.alias("k"), _shifted(F.col("pos"), k).alias("prefix")))).alias("b"))
+    held = around.select("pos", "b.*").join(blocks, ["k", "prefix"]).select("pos", "place", "rank")
+    return held.unionByName(cuts, allowMissingColumns=True).groupBy("pos").agg(F.min_by("place", "rank").alias("place"))
+
+
+def locate_addresses(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(pos, city, lat, lng) of distinct addresses ``pos``: an as-of merge with the
+    segments, chunk by chunk. Every chunk that holds an address starts with a cut
+    of its own, so nothing is carried from one chunk to the next."""
+    chunk = lambda c: _shifted(c, F.lit(CHUNK_BITS))
+    starts = addresses.select(F.call_function("shiftleft", chunk(F.col("pos")), F.lit(CHUNK_BITS)).alias("pos")).distinct()
+    cuts = ip_segments(ranges, starts).select("pos", F.struct("place").alias("cut"))
+    merged = cuts.unionByName(addresses.select("pos", F.lit(True).alias("asked")), allowMissingColumns=True)
+    so_far = Window.partitionBy(chunk(F.col("pos"))).orderBy("pos", F.col("asked").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return merged.withColumn("cut", F.last("cut", ignorenulls=True).over(so_far)).filter("asked").select("pos", "cut.place.*")
 
 
 def geoip_join(log: DataFrame, ranges: DataFrame, address: str = "address") -> DataFrame:
-    """Range join of addresses with (ip_start, ip_end, city, lat, lng).
+    """Places of a log's addresses from (ip_start, ip_end, city, lat, lng).
 
-    Ranges explode over their /16 blocks (at most 65,536 + one per range), the
-    log joins by block and tests the exact bounds; misses fall back by method.
-    Missing and private addresses have no block and stay out of the join.
+    Each address gets the narrowest range that holds it, so a log row stays one
+    row. Distinct public addresses are located once; misses fall back by method.
+    Rows without such an address are spread by their content, so that no task
+    gets all of them.
     """
-    blocks = ranges.withColumn(
-        "block", F.explode(F.sequence(F.floor(F.col("ip_start") / BLOCK), F.floor(F.col("ip_end") / BLOCK))))
-    public = F.coalesce(ip.is_public(F.col(address)), F.lit(False))
-    probe = log.filter(public).withColumn("block", F.floor(F.col(address) / BLOCK))
-    hit = (probe["block"] == blocks["block"]) & probe[address].between(blocks["ip_start"], blocks["ip_end"])
-    located = probe.join(blocks, hit, "left").drop("block", "ip_start", "ip_end")
-    located = located.unionByName(log.filter(~public), allowMissingColumns=True)
-    found = geo.valid_world(F.col("lat"), F.col("lng"))
+    asked = F.when(F.coalesce(ip.is_public(F.col(address)), F.lit(False)), F.col(address)).cast("bigint")
+    addresses = log.select(asked.alias("pos")).distinct().filter("pos IS NOT NULL")
+    hashable = [F.col(c) for c, kind in log.dtypes if "map<" not in kind and kind != "variant"]
+    aside = -1 - F.pmod(F.xxhash64(*hashable), F.lit(1 << 20))
+    places = locate_addresses(addresses, ranges).withColumnRenamed("pos", "__pos")
+    located = log.withColumn("__pos", F.coalesce(asked, aside)).join(places, "__pos", "left")
+    found, private = geo.valid_world(F.col("lat"), F.col("lng")), F.col("__pos") < 0
     a = F.col(address)
     method = (
         F.when(a.isNull() & F.col("invalid_input"), "invalid_ip_fallback")
         .when(a.isNull(), "default")
-        .when(~ip.is_public(a) & F.col("is_local_development"), "local_development")
-        .when(~ip.is_public(a), "private_ip_fallback")
+        .when(private & F.col("is_local_development"), "local_development")
+        .when(private, "private_ip_fallback")
         .when(~found, "geoip_not_found_fallback")
         .when(F.col("is_local_development"), "local_development")
         .otherwise("ip")
@@ -160,7 +219,7 @@ def geoip_join(log: DataFrame, ranges: DataFrame, address: str = "address") -> D
         "city": F.when(found, F.col("city")).otherwise(d["city"]),
         "lat": F.when(found, F.col("lat")).otherwise(d["lat"]),
         "lng": F.when(found, F.col("lng")).otherwise(d["lng"]),
-    })
+    }).drop("__pos")
 
 
 def find_city(wanted: DataFrame, cities: DataFrame) -> DataFrame:
