@@ -161,6 +161,21 @@ BULLETIN_TAILS = {  # words that may follow a heading and belong to it
     "hydrology": r"^ ?(?:at \d{4} PST)? ?(?:AND OUTLOOK)?", "table": "^ ?OF GAUGING STATIONS",
 }
 BULLETIN_COLUMNS = ("RIVERS Stations Actual Observations", "Season 2026")  # first and last words of the table's own head
+BULLETIN_TRENDS = {  # trend: phrases that state it
+    "Decreasing": ["decrease", "decreasing", "fall", "falling"], "Increasing": ["increase", "increasing", "rise", "rising"],
+    "No significant change": ["no sig change", "no sig. change", "no significant change", "no significant. change"],
+}
+BULLETIN_TIMINGS = {  # what follows: phrases that lead to it
+    "date": ["up to", "upto"], "hours": ["within next", "within the next", "during next", "during the next"],
+}
+BULLETIN_LABELS = {  # fact: label in the page header; its value runs to the next label
+    "number": "BULLETIN No:", "issue_date": "Dated:", "issue_time": "Time:", "page": "Page", "office_address": "FLOOD FORECASTING DIVISION",
+    "web": "www.", "email": "Email:", "telephone": "Duty Officer 24/7Hrs:", "rights": "All rights",
+}
+BULLETIN_FOLLOWERS = {"issue_date": "issue_time", "office_address": "number"}  # facts that count only before this label
+BULLETIN_OFFICES = {
+    "issuing_department": "Flood Forecasting Division", "department": "Pakistan Meteorological Department", "division": "Defence Division",
+}
 LEVEL_RANK = {
     "below low": 0, "low": 1, "medium": 2, "high": 3, "very high": 4, "exceptionally high": 5,
 }
