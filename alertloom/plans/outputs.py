@@ -42,15 +42,33 @@ def block(heading, *lines):
     return f"'{heading}'" + NL + RULE + NL + NL.join(lines) + " || chr(10)"
 
 
+def _quoted(words: str) -> str:
+    return " || chr(10) || ".join(f"'{line}'" for line in words.split("\n"))
+
+
+TOP, END = (_quoted(R._banner(w)) for w in ("PAKISTAN NATURAL DISASTER ALERT", "END OF ALERT RECORD"))
+TOP += " || chr(10)"
+
+
 @query("rp1_render_report", f"""SELECT id AS alert_id, 2 AS section, {block('ALERT SUMMARY', "'Alert ID          : alert_' || id", "'Status            : ' || upper(status)", "'Hazard Type       : ' || upper(replace(hazard_type, '_', ' '))",
 "'Severity          : ' || upper(normalized_severity)", "'Official Severity : ' || coalesce(upper(official_severity), 'N/A')", "'Source            : ' || name", "'Source Alert ID   : ' || coalesce(source_alert_id, 'N/A')")} AS text
 FROM (SELECT a.*, s.name FROM alerts a JOIN sources s ON s.id = a.source_id) z
 UNION ALL SELECT id, 6, {block('TIMING', "'Issued At          : ' || " + stamp('issued_at'), "'Starts At          : ' || " + stamp('starts_at'), "'Expires At         : ' || " + stamp('expires_at'), "'Retrieved At       : ' || " + stamp('m.at'),
 "'Last Updated       : ' || " + stamp('coalesce(updated_at, created_at)'))} FROM alerts a JOIN (SELECT source_id, max(retrieved_at) AS at FROM raw_documents GROUP BY 1) m ON m.source_id = a.source_id
 UNION ALL SELECT id, 10, {block('VALIDATION NOTES', "CASE WHEN id % 7 = 0 THEN '1. Missing source_url' || chr(10) || '2. No affected locations identified' ELSE 'None' END")} FROM alerts
-UNION ALL SELECT id, 11, {block('CHANGE HISTORY', "CASE WHEN id % 5 = 0 THEN 'Revision Number    : 2' || chr(10) || 'Previous Hash      : old' || chr(10) || 'New Hash           : new' || chr(10) || 'Updated At         : ' || " + stamp('created_at') + " || chr(10) || chr(10) || 'Changed Fields:' || chr(10) || '1. Changed field: description' || chr(10) || '2. Changed field: severity' ELSE 'No previous revisions.' END")} FROM alerts""")
+UNION ALL SELECT id, 11, {block('CHANGE HISTORY', "CASE WHEN id % 5 = 0 THEN 'Revision Number    : 2' || chr(10) || 'Previous Hash      : old' || chr(10) || 'New Hash           : new' || chr(10) || 'Updated At         : ' || " + stamp('created_at') + " || chr(10) || chr(10) || 'Changed Fields:' || chr(10) || '1. Changed field: description' || chr(10) || '2. Changed field: severity' ELSE 'No previous revisions.' END")} FROM alerts
+UNION ALL SELECT id, s, CASE s WHEN 1 THEN {TOP} ELSE {END} END FROM alerts, (VALUES (1), (13)) v(s)
+UNION ALL SELECT id, 3, {block('TITLE', 'title')} FROM alerts
+UNION ALL SELECT id, 5, 'AFFECTED LOCATIONS' || chr(10) || {RULE} || CASE WHEN id IN (SELECT alert_id FROM alert_locations) THEN '' ELSE chr(10) || 'None' || chr(10) END FROM alerts
+UNION ALL SELECT a.id, 8, {block('SOURCE INFORMATION', "'Source Name        : ' || s.name", "'Source URL         : ' || coalesce(s.scrape_url, a.source_url)", "'Final URL          : ' || coalesce(m.url, a.source_url)",
+"'Content Type       : ' || coalesce(m.content_type, 'text/html')", "'HTTP Status        : ' || coalesce(CAST(m.http_status AS VARCHAR), '200')", "'Raw Document Hash  : ' || coalesce(m.content_hash, 'N/A')", "'Alert Content Hash : ' || sha256(CAST(a.id AS VARCHAR))")}
+FROM alerts a JOIN sources s ON s.id = a.source_id LEFT JOIN (SELECT * FROM raw_documents QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY retrieved_at DESC, id DESC) = 1) m ON m.source_id = a.source_id
+UNION ALL SELECT a.id, 9, {block('PROCESSING INFORMATION', "'Validation Status  : ' || CASE WHEN a.id % 7 = 0 THEN 'INVALID' ELSE 'VALID' END", "'Processing Result  : CREATED'",
+"'Parser             : ' || CASE WHEN contains(s.name, 'PMD Weather') THEN 'PMDWeatherScraper' WHEN contains(s.name, 'NDMA') THEN 'NDMAScraper' WHEN contains(s.name, 'FFD') OR contains(s.name, 'Flood') THEN 'FFDBulletinScraper' WHEN contains(s.name, 'Earthquake') OR contains(s.name, 'Seismic') THEN 'PMDEarthquakeScraper' ELSE 'BaseScraper' END",
+"'Location Match     : ' || CASE WHEN a.id IN (SELECT alert_id FROM alert_locations) THEN 'SUCCESS' ELSE 'N/A' END", "'Duplicate Check    : UNIQUE'", "'Revision Number    : ' || CASE WHEN a.id % 5 = 0 THEN '2' ELSE '1' END")}
+FROM alerts a JOIN sources s ON s.id = a.source_id""")
 def _(spark, d):
-    return sections(spark, d).filter("section IN (2, 6, 10, 11)").drop("part")
+    return sections(spark, d).filter("section NOT IN (4, 7, 12) AND part = ''").drop("part")
 
 
 @query("rp1_location_parts", """SELECT alert_id, loc_id AS part, 'Entity Type        : ' || entity_type || chr(10) || 'Province           : ' || province || chr(10) || 'District           : ' || district || chr(10) || 'Tehsil             : N/A' || chr(10) || 'Primary City       : ' || city || chr(10) ||
