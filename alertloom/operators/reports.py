@@ -137,6 +137,25 @@ def report_text(sections: DataFrame) -> DataFrame:
         "alert_id", F.concat(F.array_join(F.concat(lines(head), lines(numbered), lines(tail)), "\n"), F.lit("\n")).alias("report"))
 
 
+def report_rows(sections: DataFrame) -> DataFrame:
+    """(alert_id, section, n, text): section rows with location blocks numbered, in no
+    order. Blocks are numbered in chunks of their order, so that an alert with very many is no single task's work."""
+    block = (F.col("section") == 5) & (F.col("part") != "")
+    numbered = number_rows(sections.filter(block), ["alert_id"], ["part"], F.substring("part", 1, 6), "n")
+    headed = numbered.withColumn("text", F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]\n"), F.col("text")))
+    rest = sections.filter(~block).withColumn("n", F.lit(0).cast("bigint"))
+    return rest.unionByName(headed.withColumn("n", F.col("n").cast("bigint"))).select("alert_id", "section", "n", "text")
+
+
+def write_report_text(sections: DataFrame, folder: str) -> None:
+    """Whole reports as text files, one after another by alert: the files in
+    order of their names are the reports in order of their ids. Rows are cut into
+    ranges and streamed, so a report longer than memory goes over several files."""
+    rows = report_rows(sections)
+    n = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, "alert_id", "section", "n").sortWithinPartitions("alert_id", "section", "n").select("text").write.text(folder)
+
+
 def report_files(alerts: DataFrame, locations: DataFrame, sources: DataFrame, previous: DataFrame | None = None,
                  chunk_rows: int = 1_000_000) -> DataFrame:
     """(alert_id, tier, file_name, issue_date): one latest file per exported
