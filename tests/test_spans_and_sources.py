@@ -16,3 +16,10 @@ def test_span_inside_a_dropped_span(spark):
     spans = spark.createDataFrame(rows, "id int, start int, end int, numeric_id long")
     got = sorted(tuple(r) for r in M.remove_contained(spans, ["id"]).select("id", "start", "end", "numeric_id").collect())
     assert got == [(1, 0, 10, 7), (1, 20, 30, 7), (2, 2, 8, 7), (3, 0, 4, 5)]
+
+
+def test_streamed_table_may_be_a_folder(spark, tmp_path):
+    spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("st1_stream_documents", "st2_stream_dedupe"):
+        ours, theirs = (sorted(tuple(r) for r in entry_module.queries()[name](spark, d).collect()) for d in (str(tmp_path), FOLDER))
+        assert ours == theirs and ours
