@@ -23,3 +23,15 @@ def test_streamed_table_may_be_a_folder(spark, tmp_path):
     for name in ("st1_stream_documents", "st2_stream_dedupe"):
         ours, theirs = (sorted(tuple(r) for r in entry_module.queries()[name](spark, d).collect()) for d in (str(tmp_path), FOLDER))
         assert ours == theirs and ours
+
+
+def test_phrases_that_fold_into_three_words(spark, tmp_path):
+    spark.createDataFrame([(1, "red-hot iron bar"), (2, "cold steel bar")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "A red-hot iron and cold steel."), (2, "cold steel, red hot iron")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name, cols in (("e4_scan_documents", "doc_id, numeric_id, matched_text, start_at"), ("j9_dictionary_join", "numeric_id, hits, docs")):
+        ours = sorted(tuple(r) for r in entry_module.queries()[name](spark, str(tmp_path)).selectExpr(*cols.split(", ")).collect())
+        assert ours == sorted(con.sql(f"SELECT {cols} FROM ({entry_module.oracle_sql()[name]}) q").fetchall()) and ours
