@@ -35,3 +35,24 @@ def test_phrases_that_fold_into_three_words(spark, tmp_path):
     for name, cols in (("e4_scan_documents", "doc_id, numeric_id, matched_text, start_at"), ("j9_dictionary_join", "numeric_id, hits, docs")):
         ours = sorted(tuple(r) for r in entry_module.queries()[name](spark, str(tmp_path)).selectExpr(*cols.split(", ")).collect())
         assert ours == sorted(con.sql(f"SELECT {cols} FROM ({entry_module.oracle_sql()[name]}) q").fetchall()) and ours
+
+
+def choice(t="CITY"):
+    return F.struct(F.col("id").alias("numeric_id"), F.lit(t).alias("entity_type"), F.lit(1).alias("method"))
+
+
+def dictionary(spark, n):
+    return spark.range(n).select(
+        F.concat(F.lit("stead "), F.col("id").cast("string")).alias("pattern"), choice().alias("best"),
+        *[choice().alias(c) for c in ("DISTRICT", "TEHSIL", "PROVINCE", "DIVISION")])
+
+
+def test_filter_stays_out_of_plans_and_grows_with_the_dictionary(spark):
+    words = dictionary(spark, 200_000)
+    texts = spark.range(20_000).selectExpr("id", "concat('at stead ', id * 100, ' and stead ', id + 300000) AS text")
+    found = M.scan(texts, words, ["id"])
+    assert len(found._jdf.queryExecution().toString()) < 1_000_000
+    assert sorted((r.id, r.numeric_id) for r in found.select("id", "numeric_id").collect()) == [(i, i * 100) for i in range(2_000)]
+    probe = M.Probe.of(words)
+    others = spark.range(200_000, 300_000).select(probe.holds(F.lit("stead"), F.col("id").cast("string")).alias("held"))
+    assert others.filter("held").count() < 10_000
