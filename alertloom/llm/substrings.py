@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from alertloom.llm.common import bodies, in_arrow
+from alertloom.session import shuffles_end_with_jobs, write_and_read
 
 WINDOW = 20
 GRAM = 8
@@ -153,11 +154,13 @@ def merged_sketch(counted: DataFrame, hashes, log_cells: int) -> np.ndarray:
         if now is not None:
             yield done()
 
-    parts = in_arrow(counted, count, "segment long, once binary, often binary")
-    merged = in_arrow(parts.repartition("segment").sortWithinPartitions("segment"), merge, "segment long, bits binary")
     bits = np.zeros((2 << log_cells) >> 3, np.uint8)
     size = (1 << log_segment) >> 3
-    for row in merged.collect():  # at most the sketch itself
+    with shuffles_end_with_jobs(counted.sparkSession):
+        parts = in_arrow(counted, count, "segment long, once binary, often binary")
+        merged = in_arrow(parts.repartition("segment").sortWithinPartitions("segment"), merge, "segment long, bits binary")
+        found = merged.collect()  # at most the sketch itself
+    for row in found:
         bits[row["segment"] * size:(row["segment"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
@@ -185,11 +188,13 @@ def _place(id_key: str, text_key: str):
 
 def bitmap_of_firsts(firsts: DataFrame) -> np.ndarray:
     """A bitmap that holds the place of every first copy; other documents seldom fall on a set bit."""
-    at = firsts.select(_place("first_id", "text_key").alias("at")).select(
-        F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
     size = BITMAP_BITS >> 3
     bits = np.zeros((1 << LOG_FIRSTS) >> 3, np.uint8)
-    for row in at.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # at most the bitmap itself
+    with shuffles_end_with_jobs(firsts.sparkSession):
+        at = firsts.select(_place("first_id", "text_key").alias("at")).select(
+            F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
+        found = at.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # at most the bitmap itself
+    for row in found:
         bits[(row["bucket"] - 1) * size:row["bucket"] * size] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
@@ -260,9 +265,11 @@ def kept_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log_cell
     further left. Null, empty and short texts have no windows and keep all
     words. Rows that repeat a doc_id and its text get the same result; a
     window at the same start of the same doc_id is not earlier. Other columns
-    are not read; an empty table gives no rows.
+    are not read; an empty table gives no rows. The repeated starts are written
+    first, so that their shuffles are gone from the disk when the texts are moved.
     """
-    marked = _keyed(docs).join(repeated_starts(docs, window, gram, log_cells), ["id_key", "text_key"], "left")
+    repeated = write_and_read(repeated_starts(docs, window, gram, log_cells), "repeated-starts")
+    marked = _keyed(docs).join(repeated, ["id_key", "text_key"], "left")
 
     def run(batches):
         for batch in batches:
