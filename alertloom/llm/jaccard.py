@@ -1,9 +1,11 @@
 """Near-duplicates by exact Jaccard similarity of word shingles, for the corpus pipeline.
 
-Candidates come from MinHash bands and not from SimHash bits: texts that share
-four fifths of their shingles differ in up to 13 and more of 64 SimHash bits,
-a radius at which no block index or BK-tree leaves anything out. Every link is
-then compared shingle by shingle.
+Candidates come from SimHash fingerprints, linked through BK-trees as in
+operator 2, and from MinHash bands: texts that share four fifths of their
+shingles differ in up to 13 and more of 64 SimHash bits, a radius at which no
+block index or BK-tree leaves anything out, so the bands find those that
+differ in more bits than the trees search. Every link is then compared shingle
+by shingle.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from alertloom.llm.common import bodies, in_arrow
 from alertloom.llm.graph import components
-from alertloom.llm.simhash import SEED, keep_first, windows
+from alertloom.llm.simhash import SEED, fingerprint, keep_first, links as print_links, windows
 from alertloom.session import write_and_read
 
 SHINGLE = 5
@@ -81,17 +83,30 @@ def connect(sets: list[np.ndarray], planted: np.ndarray, asks: np.ndarray) -> li
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, keys): a hash of the text and its band keys."""
+    """(doc_id, text_key, print, keys): a hash of the text, its SimHash fingerprint as a signed long and its band keys."""
 
     def run(batches):
         for batch in batches:
-            keys = [band_keys(shingles(b)) for b in batch.column("body").to_pylist()]
+            texts = batch.column("body").to_pylist()
+            keys = [band_keys(shingles(b)) for b in texts]
+            prints = np.array([fingerprint(b, SHINGLE) for b in texts], np.uint64).view(np.int64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), BANDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), lists.cast(pa.list_(pa.int64()))], ["doc_id", "text_key", "keys"])
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(prints), lists.cast(pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "print", "keys"])
 
     held = bodies(docs).withColumn("text_key", F.xxhash64("body"))
-    return in_arrow(held, run, "doc_id long, text_key long, keys array<long>")
+    return in_arrow(held, run, "doc_id long, text_key long, print long, keys array<long>")
+
+
+def near_prints(known: DataFrame) -> DataFrame:
+    """(a, b) keys of texts that connect all texts of equal fingerprints and those whose fingerprints the BK-trees link."""
+    prints = known.groupBy("print").agg(F.min("text_key").alias("low"))
+    equal = known.join(prints, "print").select(F.col("text_key").alias("a"), F.col("low").alias("b"))
+    linked = print_links(prints.select("print"))
+    for end in ("a", "b"):
+        linked = linked.join(prints.select(F.col("print").alias(end), F.col("low").alias(f"low_{end}")), end)
+    return equal.unionByName(linked.select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
 
 
 def links(docs: DataFrame, candidates: DataFrame, cut_rows: int = CUT_ROWS, cut_bytes: int = CUT_BYTES) -> DataFrame:
@@ -149,7 +164,8 @@ def drop_similar(docs: DataFrame, cut_rows: int = CUT_ROWS, cut_bytes: int = CUT
     known = write_and_read(signatures(docs), "signatures")
     keyed = known.dropDuplicates(["text_key"]).select(F.col("text_key").alias("node"), F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
-    near = components(keyed.join(hubs, "key").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    in_bands = keyed.join(hubs, "key").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    near = components(near_prints(known).unionByName(in_bands))
     roots = components(links(docs, near, cut_rows, cut_bytes)).withColumnRenamed("node", "text_key")
     grouped = known.select("doc_id", "text_key").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     return keep_first(docs, grouped)
