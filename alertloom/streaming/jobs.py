@@ -17,7 +17,7 @@ from alertloom import constants as K
 from alertloom.functions import timeops
 from alertloom.operators import aggregates as A, identity as I, ingest as G, quality as Q
 from alertloom.operators.reports import change_feed
-from alertloom.session import new_folder
+from alertloom.session import measured_broadcasts, new_folder
 from alertloom.streaming.store import BUCKET_ROWS, AlertStore, finished, hadoop
 
 
@@ -37,12 +37,14 @@ def stream_dedupe(docs: DataFrame, event_time: str = "retrieved_at", keys=("sour
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append",
                   checkpoint: str | None = None) -> StreamingQuery:
-    """Process everything that has landed, then stop."""
+    """Process everything that has landed, then stop. Batches join what earlier steps
+    wrote as compressed files, so sides are broadcast by their measured size alone."""
     spark = stream.sparkSession
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(each)
-        .option("checkpointLocation", checkpoint or new_folder(spark, "stream-state")).trigger(availableNow=True).start())
-    query.awaitTermination()
+    with measured_broadcasts(spark):
+        query = (
+            stream.writeStream.outputMode(mode).foreachBatch(each)
+            .option("checkpointLocation", checkpoint or new_folder(spark, "stream-state")).trigger(availableNow=True).start())
+        query.awaitTermination()
     return query
 
 
@@ -212,7 +214,8 @@ class SummaryJob(UpsertJob):
         self.locations, self.sources = locations, sources
         self.counts = SnapshotStore(spark, f"{self.folder}/counts", self._counted(self.store.last(), None))
         ids = self.snapshot().select(F.col("id").alias("alert_id"))
-        self.districts = SnapshotStore(spark, f"{self.folder}/districts", A.districts_of(locations, ids))
+        with measured_broadcasts(spark):
+            self.districts = SnapshotStore(spark, f"{self.folder}/districts", A.districts_of(locations, ids))
 
     def _counted(self, version: int, written: int | None) -> DataFrame:
         """Counts per bucket of a version of the store, of all buckets or of those that one version wrote."""
