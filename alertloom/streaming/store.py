@@ -36,6 +36,15 @@ def finished(spark: SparkSession, folder: str, prefix: str) -> list[int]:
     return [n for n in numbers if files.exists(hadoop(spark, f"{folder}/{prefix}-{n:012d}/_SUCCESS")[1])]
 
 
+def finished_manifests(spark: SparkSession, folder: str) -> list[int]:
+    """Versions of the bucketed table in a folder, oldest first: a manifest gets its name when it is whole."""
+    files, at = hadoop(spark, folder)
+    if not files.exists(at):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at)]
+    return sorted(int(n.removeprefix("manifest-")) for n in names if n.startswith("manifest-"))
+
+
 class BucketedTable:
     """Numbered versions of a table that is cut by the hash of ``key``; version = batch id + 1.
 
@@ -52,12 +61,8 @@ class BucketedTable:
             self._write(-1, initial, max(1, -(-initial.count() // bucket_rows)), None)
 
     def versions(self) -> list[int]:
-        """Finished versions, oldest first: a manifest gets its name when it is whole."""
-        files, at = hadoop(self.spark, self.folder)
-        if not files.exists(at):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(at)]
-        return sorted(int(n.removeprefix("manifest-")) for n in names if n.startswith("manifest-"))
+        """Finished versions, oldest first."""
+        return finished_manifests(self.spark, self.folder)
 
     def last(self) -> int | None:
         return max(self.versions(), default=None)
@@ -169,6 +174,8 @@ class AlertStore:
                  bucket_rows: int = BUCKET_ROWS) -> None:
         make = lambda name, df, key: BucketedTable(spark, f"{folder}/{name}", df, key, bucket_rows)
         self.children = {name: make(name, df, "alert_id") for name, df in (children or {}).items()}
+        if not finished_manifests(spark, f"{folder}/alerts"):
+            alerts = write_and_read(alerts, "store-initial")  # counted and written for the index and the table
         self.index = make("index", alerts.select(F.explode(lookups(alerts)).alias("lookup"), "id").select("lookup", F.col("id").cast("bigint").alias("id")), "lookup")
         self.alerts = make("alerts", alerts, "id")
 
@@ -177,10 +184,12 @@ class AlertStore:
         alerts it matches and of the ids that its new alerts would get."""
         if all(t.manifest(batch_id)[0]["buckets"] == 1 for t in (self.alerts, *self.children.values())):
             return {"alerts": [0], **{name: [0] for name in self.children}}
-        keys = batch.select(I.own_key().alias("own"), I.slot_key().alias("slot"), "seq")
-        asked = keys.select(F.coalesce("own", "slot").alias("lookup")).filter("lookup IS NOT NULL").distinct()
+        keys = batch.withColumn("lookup", F.coalesce(I.own_key(), I.slot_key())).select(
+            "lookup", F.when(F.col("lookup").isNull(), I.row_key()).alias("row")).distinct()
+        keys = write_and_read(keys, "store-keys")
+        asked = keys.filter("lookup IS NOT NULL").select("lookup")
         found = self.index.before(batch_id, self.index.touched(batch_id, asked)).join(asked, "lookup", "left_semi").select("id")
-        fresh = keys.select(I.stable_id(F.coalesce("own", "slot", I.row_key())).alias("id"))
+        fresh = keys.select(I.stable_id(F.coalesce("lookup", "row")).alias("id"))
         ids = found.unionByName(fresh).distinct()
         out = {"alerts": self.alerts.touched(batch_id, ids)}
         as_child = ids.withColumnRenamed("id", "alert_id")
