@@ -2,11 +2,12 @@
 
 A window is a run of words. Its anchor is the leftmost smallest hash among its
 short grams, so equal windows have equal anchors, and a window's anchor occurs
-at least as often as the window itself. Every partition counts its anchors in a
-count-min sketch; the merged sketch never underestimates. A second sketch
-counts the windows that pass the first. The last pass over the texts groups, by
-128-bit keys, only the windows estimated to repeat. Of equal whole texts only
-the first is looked at; the others repeat all of it.
+at least as often as the window itself. Anchors are counted in a count-min
+sketch of as many segments as the texts need: both cells of an anchor lie in its
+segment, which is filled and asked in one task, so the sketch never
+underestimates, does not fill up on a larger input and is never sent around.
+Only windows whose anchor may repeat are grouped, by 128-bit keys. Of equal
+whole texts only the first is looked at; the others repeat all of it.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from alertloom.session import shuffles_end_with_jobs, write_and_read
 
 WINDOW = 20
 GRAM = 8
-LOG_CELLS = 26  # cells of each of the two sketch rows; the merged sketch is 2 * 2**26 bits, 16 MB, whatever the input
-LOG_SEGMENT = 16  # cells of a segment, the unit in which sketches are merged
+LOG_CELLS = 20  # cells of each of the two sketch rows of a segment
+ROOM = 8  # cells a row for each anchor of a segment, as expected
+ANCHOR_BYTES = 40  # bytes of text for each anchor, about
+KEYS_AT_ONCE = 1 << 18  # window keys of a segment, about
 LOG_FIRSTS = 27  # bits of the bitmap of first copies, 16 MB
 BITMAP_BITS = 32_768  # of one of Spark's bitmaps
 HASHES_AT_ONCE = 500_000
@@ -102,72 +105,68 @@ def cells_of(anchors: np.ndarray, log_cells: int) -> np.ndarray:
     return np.stack([spread & mask, ((spread >> np.uint64(32)) & mask) + np.uint64(1 << log_cells)]).astype(np.int64)
 
 
-def merged_sketch(counted: DataFrame, hashes, log_cells: int) -> np.ndarray:
-    """Bits of the cells counted at least twice, over ``hashes(batch)`` of every batch.
+def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each hash; it does not follow from the cells."""
+    return (mixed(hashes ^ ODD[1]) % np.uint64(segments)).astype(np.int64)
 
-    A partition's sketch leaves it as the cells it counted once and oftener,
-    two bytes each, by segment; a segment is merged in one stream of small rows.
-    """
-    log_segment = min(LOG_SEGMENT, log_cells)
-
-    def rows(cells: np.ndarray) -> pa.RecordBatch:
-        cell, times = np.unique(cells, return_counts=True)
-        segment = cell >> log_segment
-        edges = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]]))
-        offset = (cell & ((1 << log_segment) - 1)).astype(np.uint16)
-        once, often = [], []
-        for a, b in zip(edges[:-1], edges[1:]):
-            once.append(offset[a:b].tobytes())
-            often.append(offset[a:b][times[a:b] > 1].tobytes())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(segment[edges[:-1]], pa.int64()), pa.array(once, pa.binary()), pa.array(often, pa.binary())], ["segment", "once", "often"])
-
-    def count(batches):
+
+def _by_segment(segment: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row per segment, with its part of each column as bytes."""
+    order = np.argsort(segment, kind="stable")
+    segment = segment[order]
+    edges = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]])) if len(segment) else np.zeros(1, np.int64)
+    cut = lambda values: pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(segment[edges[:-1]], pa.int64()), *(cut(values[order]) for values in columns.values())], ["segment", *columns])
+
+
+def in_segments(source: DataFrame, hashed, cut, merge, kinds: dict[str, str], out: str) -> DataFrame:
+    """What the segments answer. ``hashed(batch)`` gives arrays, which go to ``cut`` some
+    hundred thousand at a time; it gives (segments, columns) twice: of rows to be asked, and of
+    rows whose answer is known, with the first column left out. ``merge`` gets all the columns of a segment."""
+    names, first = list(kinds), next(iter(kinds))
+
+    def ship(batches):
         held, size = [], 0
+
+        def rows():
+            asked, known = cut(*(np.concatenate(x) for x in zip(*held)))
+            yield _by_segment(*asked)
+            empty = {n: np.zeros((len(known[0]), 0), np.uint8) if n not in known[1] else known[1][n] for n in names}
+            yield _by_segment(known[0], empty)
+
         for batch in batches:
-            found = cells_of(hashes(batch), log_cells).ravel()
-            held.append(found)
-            size += len(found)
-            if size >= 2 * HASHES_AT_ONCE:
-                yield rows(np.concatenate(held))
+            held.append(hashed(batch))
+            size += len(held[-1][0])
+            if size >= HASHES_AT_ONCE:
+                yield from rows()
                 held, size = [], 0
         if size:
-            yield rows(np.concatenate(held))
+            yield from rows()
 
-    def merge(batches):
-        now, seen, twice = None, None, None
+    def gather(batches):
+        now, parts = None, []
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int64()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
+        def done():
+            return merge(*(np.frombuffer(b"".join(x), kinds[n]) for n, x in zip(names, zip(*parts))))
 
         for batch in batches:
-            for segment, once, often in zip(*(batch.column(c).to_pylist() for c in ("segment", "once", "often"))):
+            for segment, *values in zip(*(batch.column(c).to_pylist() for c in ("segment", *names))):
+                if not values[names.index(first)]:  # known
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.frombuffer(v, kinds[n])) for n, v in zip(names, values) if n in answer], answer)
+                    continue
                 if segment != now:
-                    if now is not None:
+                    if parts:
                         yield done()
-                    now, seen, twice = segment, np.zeros(1 << log_segment, bool), np.zeros(1 << log_segment, bool)
-                own = np.frombuffer(once, np.uint16)
-                twice[own] |= seen[own]
-                seen[own] = True
-                twice[np.frombuffer(often, np.uint16)] = True
-        if now is not None:
+                    now, parts = segment, []
+                parts.append(values)
+        if parts:
             yield done()
 
-    bits = np.zeros((2 << log_cells) >> 3, np.uint8)
-    size = (1 << log_segment) >> 3
-    with shuffles_end_with_jobs(counted.sparkSession):
-        parts = in_arrow(counted, count, "segment long, once binary, often binary")
-        merged = in_arrow(parts.repartition("segment").sortWithinPartitions("segment"), merge, "segment long, bits binary")
-        found = merged.collect()  # at most the sketch itself
-    for row in found:
-        bits[row["segment"] * size:(row["segment"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return bits
-
-
-def maybe_repeated(hashes: np.ndarray, bits: np.ndarray, log_cells: int) -> np.ndarray:
-    cells = cells_of(hashes, log_cells)
-    return ((bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).all(0)
+    answer = [c.split()[0] for c in out.split(", ")]
+    parts = in_arrow(source, ship, "segment long, " + ", ".join(f"{n} binary" for n in names))
+    return in_arrow(parts.repartition("segment").sortWithinPartitions("segment"), gather, out)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -176,6 +175,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
         F.xxhash64(F.lit(1), "body").alias("text_key2"), "doc_id", "body")
 
 
+def _doc_key():
+    """Tells documents apart for the prefilter; two that share it only ask for more windows."""
+    return F.xxhash64("id_key", "text_key").alias("doc_key")
+
+
 def first_texts(docs: DataFrame) -> DataFrame:
     """(text_key, text_key2, first_id): per distinct text the smallest doc_id."""
     return _keyed(docs).groupBy("text_key", "text_key2").agg(F.min("id_key").alias("first_id"))
@@ -200,57 +204,90 @@ def bitmap_of_firsts(firsts: DataFrame) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, window: int, gram: int, log_cells: int) -> DataFrame:
-    """(k0, k1, id_key, text_key, start): the windows that the sketches can't prove unique.
+    """(doc_key, start): the runs of windows with one anchor that the sketch can't prove unique, by their first window.
 
-    Later copies of a whole text take no part. The first sketch counts anchors;
-    a second one counts the keys of the windows that the first lets through.
+    Later copies of a whole text take no part. An anchor that is met again
+    among those that a task holds is counted there, and its later runs are not asked for.
     """
     context = docs.sparkSession.sparkContext
     firsts = context.broadcast(bitmap_of_firsts(first_texts(docs)))
-    source = _keyed(docs).select("id_key", "text_key", "body", (_place("id_key", "text_key") - 1).alias("place"))
+    source = _keyed(docs).select(_doc_key(), "body", (_place("id_key", "text_key") - 1).alias("place"))
+    length = source.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    segments = 1 + length * ROOM // (ANCHOR_BYTES << log_cells)
 
-    def texts(batch) -> list[bytes]:
-        """The batch's texts, those that are surely later copies left empty."""
+    def hashed(batch):
         place = batch.column("place").to_numpy()
-        known = (firsts.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-        return [b if k else b"" for b, k in zip(batch.column("body").to_pylist(), known)]
+        known = (firsts.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1  # surely later copies are left empty
+        found = Windows([b if k else b"" for b, k in zip(batch.column("body").to_pylist(), known)], window, gram)
+        begin = np.cumsum(found.run) - found.run
+        return found.anchor, batch.column("doc_key").to_numpy()[found.text[begin]], found.start[begin].astype(np.int32)
+
+    def cut(anchor, doc_key, start):
+        order = np.argsort(anchor, kind="stable")
+        new = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
+        one, more = order[new], order[~new]
+        times = np.minimum(np.diff(np.concatenate([np.flatnonzero(new), [len(order)]])), 2).astype(np.uint8)
+        return ((segment_of(anchor[one], segments), {"anchor": anchor[one], "times": times, "doc_key": doc_key[one], "start": start[one]}),
+                (segment_of(doc_key[more].view(np.uint64), segments), {"doc_key": doc_key[more], "start": start[more]}))
+
+    def merge(anchor, times, doc_key, start):
+        cells = cells_of(anchor, log_cells)
+        counts = np.bincount(cells.ravel(), np.concatenate([times, times]), 2 << log_cells)
+        stays = counts[cells].min(0) > 1
+        return pa.RecordBatch.from_arrays([pa.array(doc_key[stays]), pa.array(start[stays])], ["doc_key", "start"])
 
-    anchors = context.broadcast(merged_sketch(source, lambda batch: Windows(texts(batch), window, gram).anchor, log_cells))
+    return in_segments(source, hashed, cut, merge, {"anchor": "<u8", "times": "u1", "doc_key": "<i8", "start": "<i4"}, "doc_key long, start int")
 
-    def passing(batch):
-        found = Windows(texts(batch), window, gram)
-        chosen = np.flatnonzero(np.repeat(maybe_repeated(found.anchor, anchors.value, log_cells), found.run))
+
+def later_windows(docs: DataFrame, runs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(id_key, text_key, start): the windows of ``runs`` whose words also start earlier.
+
+    A key goes once from each lot of windows, by its first start there; the other
+    windows of the lot start later, so that a passage in very many texts is not the work of one task.
+    """
+    segments = 1 + 4 * runs.count() // KEYS_AT_ONCE
+    wanted = runs.groupBy("doc_key").agg(F.collect_list("start").alias("starts"))
+    source = _keyed(docs).withColumn("doc_key", _doc_key()).join(wanted, "doc_key").select("id_key", "text_key", "body", "starts")
+
+    def hashed(batch):
+        found = Windows(batch.column("body").to_pylist(), window, gram)
+        begin = np.cumsum(found.run) - found.run
+        starts = batch.column("starts")
+        asked = (np.repeat(np.arange(len(starts)), starts.value_lengths().to_numpy()) << 32) | starts.flatten().to_numpy()
+        chosen = np.flatnonzero(np.repeat(np.isin((found.text[begin] << 32) | found.start[begin], asked), found.run))
         k0, k1 = found.keys(chosen) if len(chosen) else (np.zeros(0, np.uint64),) * 2
-        return found, chosen, k0, k1
+        text = found.text[chosen]
+        return k0, k1, batch.column("id_key").to_numpy()[text], batch.column("text_key").to_numpy()[text], found.start[chosen].astype(np.int32)
 
-    windows = context.broadcast(merged_sketch(source, lambda batch: passing(batch)[2], log_cells))
+    def first_of(k0, k1, id_key, text_key, start):
+        """An order by key and start, and in it: is it the first start of its key, is it another row than the one before?"""
+        order = np.lexsort((text_key, start, id_key, k1, k0))
+        differs = lambda *columns: np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in columns], 0)])
+        new = differs(k0, k1)
+        head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        return order, (id_key[order] == id_key[head]) & (start[order] == start[head]), new | differs(id_key, start, text_key)
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, chosen, k0, k1 = passing(batch)
-            stays = maybe_repeated(k0, windows.value, log_cells)
-            chosen, k0, k1 = chosen[stays], k0[stays], k1[stays]
-            text = pa.array(found.text[chosen])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k0.view(np.int64)), pa.array(k1.view(np.int64)), batch.column("id_key").take(text),
-                 batch.column("text_key").take(text), pa.array(found.start[chosen].astype(np.int32))],
-                ["k0", "k1", "id_key", "text_key", "start"])
+    def cut(k0, k1, id_key, text_key, start):
+        order, first, other = first_of(k0, k1, id_key, text_key, start)
+        one, more = order[first & other], order[~first & other]
+        place = lambda at: {"id_key": id_key[at], "text_key": text_key[at], "start": start[at]}
+        return ((segment_of(k0[one], segments), {"k0": k0[one], "k1": k1[one]} | place(one)),
+                (segment_of(text_key[more].view(np.uint64), segments), place(more)))
 
-    return in_arrow(source, run, "k0 long, k1 long, id_key long, text_key long, start int")
+    def merge(k0, k1, id_key, text_key, start):
+        order, first, _ = first_of(k0, k1, id_key, text_key, start)
+        later = order[~first]
+        return pa.RecordBatch.from_arrays([pa.array(c[later]) for c in (id_key, text_key, start)], ["id_key", "text_key", "start"])
 
+    return in_segments(source, hashed, cut, merge, {"k0": "<u8", "k1": "<u8", "id_key": "<i8", "text_key": "<i8", "start": "<i4"},
+                       "id_key long, text_key long, start int")
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log_cells: int = LOG_CELLS) -> DataFrame:
-    """(id_key, text_key, copy, starts): per text the windows that also start earlier, or that all of it is a later copy.
 
-    The first start of a key is a minimum, combined before the shuffle, and is
-    joined back, so a window that a third of the texts share stays spread.
-    """
-    found = candidates(docs, window, gram, log_cells)
-    at = F.struct("id_key", "start")
-    first = found.groupBy("k0", "k1").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, ["k0", "k1"]).filter(at != F.col("first"))
+def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log_cells: int = LOG_CELLS) -> DataFrame:
+    """(id_key, text_key, copy, starts): per text the windows that also start earlier, or that all of it is a later copy."""
+    later = later_windows(docs, write_and_read(candidates(docs, window, gram, log_cells), "repeated-anchors"), window, gram)
     copies = _keyed(docs).drop("body").join(first_texts(docs), ["text_key", "text_key2"]).filter("id_key > first_id")
-    marks = later.select("id_key", "text_key", "start").unionByName(copies.select("id_key", "text_key", F.lit(None).cast("int").alias("start")))
+    marks = later.unionByName(copies.select("id_key", "text_key", F.lit(None).cast("int").alias("start")))
     return marks.groupBy("id_key", "text_key").agg(F.bool_or(F.col("start").isNull()).alias("copy"), F.collect_list("start").alias("starts"))
 
 
